@@ -60,13 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key, that of the newest version; ties fall to the row with the smallest text.
-
-    A re-delivered row is a copy, so the aggregate works on whole structs and combines before the shuffle.
-    """
+    """One row per key, that of the newest version; a null version is the oldest. Combines before the shuffle."""
     rest = [c for c in df.columns if c != key]
     row = F.struct(*[F.col(c) for c in rest])
-    return df.groupBy(key).agg(F.max_by(row, F.struct(F.coalesce(F.col(version).cast("double"), F.lit(0.0)))).alias("_row")).select(
+    return df.groupBy(key).agg(F.max_by(row, F.struct(version)).alias("_row")).select(
         key, *[F.col("_row")[c].alias(c) for c in rest]
     )
 

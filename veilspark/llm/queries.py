@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing
+from . import canonical, chunking, mixing, packing, splits
 from .common import spread, table
 from .tokens import token_count
 
 SEED = 7
+# Shares of the splits.
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def _limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
@@ -24,6 +26,25 @@ def _sized(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, token_count(F.col("text")).alias("tokens"))
 
 
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split(table(spark, d, "examples"), table(spark, d, "templates"), SHARES, SEED)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = splits.groups(table(spark, d, "examples"), table(spark, d, "templates"))
+    return rows.where("group_key is not null").select("example_id", "group_key")
+
+
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", canonical.canonical(F.col("text")).alias("text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = canonical.same_look(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limits(spark, d, "container")
     return packing.pack(_sized(spark, d), "doc_id", "tokens", capacity)
