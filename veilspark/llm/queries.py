@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, chunking, mixing, packing, splits
-from .common import spread, table
+from . import canonical, chunking, mixing, packing, residue, splits
+from .common import latest, spread, table
 from .tokens import token_count
 
 SEED = 7
@@ -45,6 +45,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def _examples(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Examples, each once."""
+    rows = table(spark, d, "examples").select("example_id", "text", *more, "geladen_am")
+    return latest(rows, "example_id", "geladen_am").drop("geladen_am")
+
+
+def p6_marked(spark: SparkSession, d: str) -> DataFrame:
+    return residue.mark_residue(_examples(spark, d), table(spark, d, "templates"), "example_id", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_marked(spark, d).where("residue").select("example_id")
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = _limits(spark, d, "container")
     return packing.pack(_sized(spark, d), "doc_id", "tokens", capacity)
