@@ -8,7 +8,6 @@ computed once and kept. Plain stretches are copied at native speed, in the same
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +26,8 @@ LOOKALIKES = {
 }
 # Hyphens and letter pairs that are drawn like others.
 SIGNS = {"‐": "-", "‑": "-", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "\u2028": "\n", "\u2029": "\n"}
+#: Code points that can need a form: the first two planes, compatibility ideographs and tags; the rest is its own form.
+CODES = (*range(0x80, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0))
 #: Kinds of compatibility decomposition that only change width or line breaking.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 
@@ -41,7 +42,7 @@ def mapping() -> dict[str, str]:
         if key != to:
             table[key] = to
 
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in CODES:
         ch = chr(code)
         category = unicodedata.category(ch)
         if category == "Zs":
@@ -69,9 +70,9 @@ class Transducer:
         self.table = mapping()
         one = lambda keys: "".join(f"{chr(a)}-{chr(b)}" if b > a else re.escape(chr(a)) for a, b in _runs(sorted(map(ord, keys))))
         zero = one(k for k, v in self.table.items() if len(k) == 1 and v == "")
-        marks = one(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+        marks = one(chr(c) for c in CODES if unicodedata.combining(chr(c)))
         mapped = one(k for k, v in self.table.items() if len(k) == 1 and v)
-        split = one(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.normalize("NFC", chr(c)) != chr(c) and not unicodedata.combining(chr(c)))
+        split = one(chr(c) for c in CODES if unicodedata.normalize("NFC", chr(c)) != chr(c) and not unicodedata.combining(chr(c)))
         # A cluster is a base with marks, or a base that is mapped; what has no width may stand anywhere in it.
         self.pattern = re.compile(f"[\\s\\S][{zero}{marks}]+|[{mapped}{split}][{zero}{marks}]*|[{zero}]+|\r\n?")
         self.plain = re.compile(f"[^\r{zero}{marks}{mapped}{split}]*")

@@ -68,8 +68,18 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     )
 
 
-def nonempty(parts: Iterable[DataFrame]) -> DataFrame:
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionByName(part)
-    return out
+def hash_sample(df: DataFrame, column: str, rows: int, of: int) -> DataFrame:
+    """At most rows rows of df, which has about `of`, by hash order of a column. A threshold on the hash leaves about
+    twice the rows before they are sorted, so that no task sends more than its part of them."""
+    h = F.xxhash64(column)
+    if of > 4 * rows:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2 * rows / of))
+    return df.orderBy(h).limit(rows)
+
+
+def stacked(parts: Iterable[DataFrame]) -> DataFrame:
+    """All rows of some tables of the same columns."""
+    first, *rest = parts
+    for part in rest:
+        first = first.unionByName(part)
+    return first

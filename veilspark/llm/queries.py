@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, chunking, mixing, packing, residue, splits
-from .common import latest, spread, table
+from . import canonical, chunking, language, mixing, packing, residue, splits
+from .common import label_col, latest, stacked, spread, table
 from .tokens import token_count
 
 SEED = 7
@@ -35,6 +35,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("group_key is not null").select("example_id", "group_key")
 
 
+def _texts(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Texts of documents and examples as (tbl, rec_id, text, ...); re-delivered examples once, by their id and text."""
+    docs = spread(table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text", *more))
+    return docs.unionByName(_examples(spark, d, *more).select(F.lit("examples").alias("tbl"), F.col("example_id").alias("rec_id"), "text", *more))
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    labelled = stacked(table(spark, d, t).select("text", "lang") for t in ("templates", "documents", "examples"))
+    return language.segments(_texts(spark, d, "lang").withColumnRenamed("lang", "label"), language.fit(labelled), ["tbl", "rec_id", "label"], "text")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.documents(_segments(spark, d).drop("label"), ["tbl", "rec_id"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    full = _segments(spark, d).where(F.col("full") & ~F.col("lang").eqNullSafe(label_col(F.col("label"))))
+    return full.select("tbl", "rec_id", "lang").distinct()
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", canonical.canonical(F.col("text")).alias("text"))

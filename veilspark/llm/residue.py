@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 
 #: Records that fit the classifier: at most so many trusted ones, and so many others, by hash order.
 TRUSTED_ROWS, OTHER_ROWS = 4_000, 16_000
@@ -174,9 +174,10 @@ def fit(records: DataFrame, templates: DataFrame, text_col: str, trusted_rows: i
         return pd.Series([trusted(x, known) for x in part], dtype="bool")
 
     texts = records.where(F.length(text_col) > 0).select(F.col(text_col).alias("x")).distinct()
-    some = texts.where(F.length("x") < 20_000)
-    a = [r["x"] for r in some.where(sure("x")).orderBy(F.xxhash64("x")).limit(trusted_rows).collect()]
-    b = [r["x"] for r in some.orderBy(F.xxhash64("x")).limit(other_rows).collect()]
+    some = cut(texts.where(F.length("x") < 20_000).select("x", sure("x").alias("sure")))
+    n = {r["sure"]: r["count"] for r in some.groupBy("sure").count().collect()}
+    a = [r["x"] for r in hash_sample(some.where("sure"), "x", trusted_rows, n.get(True, 0)).collect()]
+    b = [r["x"] for r in hash_sample(some, "x", other_rows, sum(n.values())).collect()]
     return Bayes(content, a, b)
 
 
