@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, chunking, language, mixing, packing, residue, splits
+from . import canonical, chunking, language, mixing, packing, residue, scans, splits
 from .common import label_col, latest, stacked, spread, table
 from .tokens import token_count
 
@@ -59,6 +59,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return full.select("tbl", "rec_id", "lang").distinct()
 
 
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = scans.decisions(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return found.select("doc_id", "kind", "piece").distinct()
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", canonical.canonical(F.col("text")).alias("text"))
