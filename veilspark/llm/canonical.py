@@ -70,43 +70,65 @@ class Transducer:
         self.table = mapping()
         one = lambda keys: "".join(f"{chr(a)}-{chr(b)}" if b > a else re.escape(chr(a)) for a, b in _runs(sorted(map(ord, keys))))
         zero = one(k for k, v in self.table.items() if len(k) == 1 and v == "")
-        marks = one(chr(c) for c in CODES if unicodedata.combining(chr(c)))
-        mapped = one(k for k, v in self.table.items() if len(k) == 1 and v)
-        split = one(chr(c) for c in CODES if unicodedata.normalize("NFC", chr(c)) != chr(c) and not unicodedata.combining(chr(c)))
-        # A cluster is a base with marks, or a base that is mapped; what has no width may stand anywhere in it.
-        self.pattern = re.compile(f"[\\s\\S][{zero}{marks}]+|[{mapped}{split}][{zero}{marks}]*|[{zero}]+|\r\n?")
-        self.plain = re.compile(f"[^\r{zero}{marks}{mapped}{split}]*")
+        marks_of = [chr(c) for c in CODES if unicodedata.combining(chr(c))]
+        marks = one(marks_of)
+        split_of = [chr(c) for c in CODES if unicodedata.normalize("NFC", chr(c)) != chr(c) and not unicodedata.combining(chr(c))]
+        # A run of special characters is searched at native speed; clusters are told apart inside it: a base with marks,
+        # where what has no width may stand anywhere, or what has no width alone.
+        # Beyond the first plane one range stands for all, as a character class is only fast within it.
+        low = one(ch for ch in {*self.table, *marks_of, *split_of} if len(ch) == 1 and ch < "\U00010000")
+        self.special = re.compile(f"[\r{low}\U00010000-\U0010ffff]+")
+        self.joins = re.compile(f"[{zero}{marks}]")
+        self.clusters = re.compile(f"\r|[\\s\\S][{zero}{marks}]*")
         self.memo: dict[str, str] = {}
 
     def cluster(self, text: str) -> str:
         got = self.memo.get(text)
         if got is None:
-            if text[0] == "\r":
-                got = "\n" + self.cluster(text[1:].lstrip("\n")) if text[1:].lstrip("\n") else "\n"
-            else:
-                got = unicodedata.normalize("NFC", "".join(self.table.get(ch, ch) for ch in unicodedata.normalize("NFC", "".join(self.table.get(ch, ch) for ch in text))))
+            form = "".join(self.table.get(ch, ch) for ch in text)
+            got = unicodedata.normalize("NFC", "".join(self.table.get(ch, ch) for ch in unicodedata.normalize("NFC", form)))
             if len(self.memo) < 100_000:
                 self.memo[text] = got
         return got
 
+    def runs(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where anything may change: runs of special characters, with the base of marks that stand first."""
+        last = 0
+        for m in self.special.finditer(text):
+            a, b = m.span()
+            if a > last and self.joins.match(text, a):
+                a -= 1
+            yield a, b
+            last = b
+
     def __call__(self, text: str) -> str:
-        if text.isascii() and "\r" not in text or self.plain.fullmatch(text):
+        out, last = [], 0
+        for a, b in self.runs(text):
+            out.append(text[last:a])
+            run = text[a:b]
+            if "\r" in run:
+                out += ["" if c == "\r" and text[b : b + 1] == "\n" and i == len(run) - 1 else "\n" if c == "\r" else self.cluster(c) for c, i in ((m[0], m.end() - 1) for m in self.clusters.finditer(run))]
+            else:
+                out.append(self.cluster(run))
+            last = b
+        if not last:
             return text
-        return self.pattern.sub(lambda m: self.cluster(m[0]), text)
+        out.append(text[last:])
+        return "".join(out)
 
     def with_map(self, text: str) -> tuple[str, list[int] | None]:
         """The form, and for each of its characters (and its end) the position in the text; None if nothing changed."""
-        if text.isascii() and "\r" not in text or self.plain.fullmatch(text):
-            return text, None
         out, at, last = [], [], 0
-        for m in self.pattern.finditer(text):
-            a, b = m.span()
+        for a, b in self.runs(text):
             out.append(text[last:a])
             at.extend(range(last, a))
-            form = self.cluster(m[0])
-            out.append(form)
-            at.extend([a] * len(form))
+            for m in self.clusters.finditer(text, a, b):
+                form = self.cluster(m[0]) if m[0] != "\r" else "" if text[m.end() : m.end() + 1] == "\n" else "\n"
+                out.append(form)
+                at.extend([m.start()] * len(form))
             last = b
+        if not last:
+            return text, None
         out.append(text[last:])
         at.extend(range(last, len(text) + 1))
         return "".join(out), at

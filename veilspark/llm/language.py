@@ -13,12 +13,13 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .canonical import transducer
-from .common import LANGS, hash_sample, label_col
+from .common import LANGS, label_col
 
 ORDER = 5
 #: Labelled texts that train one language: at most so many rows by hash order, and at most so many characters of each.
@@ -32,11 +33,22 @@ CLEAR, NAME_WEIGHT = 0.6, 0.2
 #: Words whose code lengths a worker keeps.
 KEPT_WORDS = 200_000
 
-WORD = re.compile(r"\S+@\S+|[^\W\d_]+(?:[-¬­‐]\s*\n\s*[^\W\d_]+)*")
+WORD = re.compile(r"[^\W\d_]+(?:[-¬­‐]\s*\n\s*[^\W\d_]+)*")
 JOINT = re.compile(r"[^\w]+")
-END = re.compile(r"(?:(?<!\b\d)(?<!\b\d\d)(?<!\b[^\W\d_])\.|[!?…])[.!?…]*[\"'»”’)\]]*(?=\s|$)|\n[ \t\r]*\n\s*|\f")
-
-NOTHING = (0.0,) * (len(LANGS) + 1)
+END = re.compile(r"[.!?…\n\f](?:(?<=[.!?…])(?<!\b\d\.)(?<!\b\d\d\.)(?<!\b[^\W\d_]\.)[.!?…]*[\"'»”’)\]]*(?=\s|$)|(?<=\n)[ \t\r]*\n\s*|(?<=\f))")
+
+def without_mail(text: str) -> str:
+    """Mail addresses blanked in place: they are in no language."""
+    at = text.find("@")
+    while at >= 0:
+        a, b = at, at + 1
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        text = text[:a] + " " * (b - a) + text[b:]
+        at = text.find("@", b)
+    return text
 
 
 def coded(word: str) -> bytes:
@@ -78,44 +90,54 @@ class Tree:
         return total
 
 
-class Model:
+class Words(dict):
+    """Word to its row in a table of bits per language and bytes; rows are computed when a word is first asked for."""
+
     def __init__(self, trees: list[Tree]):
+        super().__init__()
         self.trees = trees
-        self.memo: dict[str, tuple] = {}
+        self.rows = np.zeros((1024, len(LANGS) + 1))
 
-    def costs(self, plain: str, token: str) -> list[float]:
-        """A capitalised word may be a name, which tells little of the language: its differences count in part."""
+    def __missing__(self, token: str) -> int:
+        plain = token if token.isalpha() else JOINT.sub("", token)  # a word cut at a line end is coded as one
         bits = [t.bits(plain) for t in self.trees]
         if token[0].isupper() and not token.isupper():
+            # A capitalised word may be a name, which tells little of the language: its differences count in part.
             low = min(bits)
             bits = [low + NAME_WEIGHT * (b - low) for b in bits]
-        return bits
-
-    def word(self, token: str) -> tuple:
-        """Bits per language, then the bytes. A word cut at a line end is coded as one word."""
-        got = self.memo.get(token)
-        if got is None:
-            plain = JOINT.sub("", token) if not token.isalpha() else token
-            got = (*self.costs(plain, token), float(len(plain.encode("utf-8", "replace")) + 1)) if "@" not in token else NOTHING
-            if len(self.memo) >= KEPT_WORDS:
-                self.memo.clear()
-            self.memo[token] = got
-        return got
-
-    def sentences(self, text: str) -> list[tuple[int, int, bool, int, tuple]]:
-        """(start, end, ends as a sentence, words, sums of word())."""
-        out, a, memo, word = [], 0, self.memo, self.word
+        k = len(self)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[k] = (*bits, len(plain.encode("utf-8", "replace")) + 1)
+        self[token] = k
+        return k
+
+
+class Model:
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+        self.words = Words(trees)
+
+    def sentences(self, text: str) -> list[tuple[int, int, bool, int, list[float]]]:
+        """(start, end, ends as a sentence, words, bits per language and bytes)."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = Words(self.trees)
+        row, at, starts, out, a = self.words.__getitem__, [], [], [], 0
         for m in END.finditer(text):
             b = m.end()
-            tokens = WORD.findall(text, a, m.start())
-            if tokens:
-                rows = [memo.get(t) or word(t) for t in tokens]
-                out.append((a, b, text[m.start()] in ".!?…", len(tokens), tuple(map(sum, zip(*rows)))))
+            if tokens := WORD.findall(text, a, m.start()):
+                starts.append(len(at))
+                at.extend(map(row, tokens))
+                out.append((a, b, text[m.start()] not in "\n\f", len(tokens)))
             a = b
-        tokens = WORD.findall(text, a)
-        if tokens:
-            out.append((a, len(text), False, len(tokens), tuple(map(sum, zip(*[memo.get(t) or word(t) for t in tokens])))))
-        return out
+        if tokens := WORD.findall(text, a):
+            starts.append(len(at))
+            at.extend(map(row, tokens))
+            out.append((a, len(text), False, len(tokens)))
+        if not out:
+            return []
+        sums = np.add.reduceat(self.words.rows[at], starts, axis=0).tolist()
+        return [(*x, s) for x, s in zip(out, sums)]
 
     def passages(self, text: str) -> list[tuple[int, int, str | None, float, bool]]:
         """(start, end, language, confidence, holds a full sentence in it) of each run of sentences in one language.
@@ -123,6 +145,7 @@ class Model:
         Sentences are labelled by the cheapest sequence under SWITCH_BITS for each change. A run that no tree codes well
         is in none of the languages. The confidence is the posterior of the language over a run, tempered per word.
         """
+        text = without_mail(text)
         rows = self.sentences(text)
         if not rows:
             return []
@@ -151,7 +174,7 @@ class Model:
                 words += count
                 if not full and ended and count >= WORDS and cost[k] <= MOST_BITS * cost[n] and min(c for x, c in enumerate(cost[:n]) if x != k) - cost[k] >= LEAD_BITS:
                     own = WORD.findall(text, rows[j][0], rows[j][1])
-                    full = sum(w[0].islower() and "@" not in w for w in own) >= 2 or not any(w[-1].islower() for w in own)
+                    full = sum(w[0].islower() for w in own) >= 2 or not any(w[-1].islower() for w in own)
                 j += 1
             low = sums[k]
             weights = [2.0 ** max(-60.0, (low - s) / max(1.0, words / 2)) for s in sums[:n]]
@@ -182,9 +205,7 @@ def _words(texts: list[str]) -> Counter:
     form = transducer()
     out: Counter = Counter()
     for text in texts:
-        for token in WORD.findall(form(text)):
-            if "@" in token:
-                continue
+        for token in WORD.findall(without_mail(form(text))):
             out[token.lower() if token.isalpha() else JOINT.sub("", token).lower()] += 1
     return out
 
@@ -209,9 +230,16 @@ def train(texts: dict[str, list[str]], rounds: int = 3) -> Model:
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Train on the driver on at most rows texts of each language, by hash order, from columns (text, lang)."""
     sample = labelled.withColumn("lang", label_col(F.col("lang"))).where(F.col("lang").isNotNull() & (F.length("text") >= 40))
-    sample = sample.select("lang", F.substring("text", 1, chars).alias("text"))
+    sample = sample.select("lang", F.substring("text", 1, chars).alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
     sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
-    texts = {lang: [r["text"] for r in hash_sample(sample.where(F.col("lang") == lang), "text", rows, sizes.get(lang, 0)).collect()] for lang in LANGS}
+    # A threshold on the hash leaves at most about twice the rows of each language, whatever the size of the table.
+    parts = {lang: (1 << 30) if n <= 2 * rows else int((1 << 30) * 1.5 * rows / n) for lang, n in sizes.items()}
+    texts: dict[str, list] = {lang: [] for lang in LANGS}
+    if parts:
+        limit = F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("lang"))
+        for r in sample.where(F.col("h") < limit).collect():
+            texts[r["lang"]].append((r["h"], r["text"]))
+    texts = {lang: [t for _, t in sorted(own)[:rows]] for lang, own in texts.items()}
     return train(texts)
 
 
