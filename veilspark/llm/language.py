@@ -28,8 +28,9 @@ TRAIN_ROWS, TRAIN_CHARS = 1_500, 2_000
 SWITCH_BITS = 16.0
 #: A sentence counts as written in a language from so many words, bits of lead, and bits per byte at most.
 WORDS, LEAD_BITS, MOST_BITS = 3, 10.0, 4.6
-#: Share of a word's labels that a language needs for the first trees; weight of words that may be names.
-CLEAR, NAME_WEIGHT = 0.6, 0.2
+#: Share of a word's labels that a language needs for the first trees, and how often the word must occur: the labels of
+#: rare words may all be wrong. Weight of words that may be names.
+CLEAR, OFTEN, NAME_WEIGHT = 0.6, 15, 0.2
 #: Words whose code lengths a worker keeps.
 KEPT_WORDS = 200_000
 
@@ -184,8 +185,9 @@ class Model:
         return out
 
 
-def _vote(own: list[Counter], least: float) -> list[Counter]:
-    """Counts of each word weighted by the square of the language's share of it; below the least share it is left out.
+def _vote(own: list[Counter], share: float, often: int) -> list[Counter]:
+    """Counts of each word weighted by the square of the language's share of it; below the least share, and words that
+    occur less than often, are left out.
 
     Where most labels of a word are right, the wrong ones weigh next to nothing. Words without a clear language (filler
     or notices under any label, and words of several languages) are then coded by the trees' shorter contexts.
@@ -193,10 +195,12 @@ def _vote(own: list[Counter], least: float) -> list[Counter]:
     sizes = [max(1, sum(c.values())) for c in own]
     out = [Counter() for _ in own]
     for word in set().union(*own):
+        if sum(c[word] for c in own) < often:
+            continue
         rates = [c[word] / n for c, n in zip(own, sizes)]
         whole = sum(rates)
         for counts, rate, into in zip(own, rates, out):
-            if rate >= least * whole and (n := counts[word] * (rate / whole) ** 2) >= 0.2:
+            if rate >= share * whole and (n := counts[word] * (rate / whole) ** 2) >= 0.2:
                 into[word] = n
     return out
 
@@ -213,7 +217,7 @@ def _words(texts: list[str]) -> Counter:
 def train(texts: dict[str, list[str]], rounds: int = 3) -> Model:
     """Trees from labelled texts. Labels err and texts mix languages, so sentences are relabelled by the first trees
     and kept where they code well, before the trees are built again."""
-    model = Model([Tree(c) for c in _vote([_words(texts.get(lang, [])) for lang in LANGS], CLEAR)])
+    model = Model([Tree(c) for c in _vote([_words(texts.get(lang, [])) for lang in LANGS], CLEAR, OFTEN)])
     form = transducer()
     for _ in range(rounds - 1):
         kept: dict[str, list[str]] = {lang: [] for lang in LANGS}
@@ -223,7 +227,7 @@ def train(texts: dict[str, list[str]], rounds: int = 3) -> Model:
                 for a, b, lang, confidence, _ in model.passages(plain):
                     if lang is not None and confidence > 0.6:
                         kept[lang].append(plain[a:b])
-        model = Model([Tree(c) for c in _vote([_words(kept[lang]) for lang in LANGS], 0.0)])
+        model = Model([Tree(c) for c in _vote([_words(kept[lang]) for lang in LANGS], 0.0, 1)])
     return model
 
 
