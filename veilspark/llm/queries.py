@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, chunking, language, mixing, packing, residue, scans, splits
+from . import canonical, chunking, language, mixing, packing, personal, residue, scans, splits
 from .common import label_col, latest, stacked, spread, table
 from .tokens import token_count
 
@@ -68,6 +68,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "kind", "piece").distinct()
 
 
+def _finder(spark: SparkSession, d: str) -> personal.Finder:
+    return personal.fit(table(spark, d, "examples"), table(spark, d, "name_weights"))
+
+
+def _readable(spark: SparkSession, d: str) -> DataFrame:
+    masks = spread(table(spark, d, "mask_results").select(F.lit("mask_results").alias("tbl"), F.col("mask_id").alias("rec_id"), "text"))
+    return _texts(spark, d).unionByName(masks)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.details(_readable(spark, d), _finder(spark, d), ["tbl", "rec_id"], "text").drop("score")
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.masked(_readable(spark, d), _finder(spark, d), ["tbl", "rec_id"], "text")
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", canonical.canonical(F.col("text")).alias("text"))
