@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from .boosting import Boosted
 from .canonical import transducer
 from .common import hash_sample
-from .scans import is_scan
 
 TAGS = ("FULLNAME", "PHONE", "EMAIL", "AHVN13", "IBAN", "IDDOC", "STREET")
 #: Labelled rows that fit the trees, at most, by hash order.
@@ -45,7 +45,7 @@ PHONE = re.compile(r"[+(0](?<![\w+.][+(0])(?:(?:(?<=\+)|(?<=0)0)41[ ./-]?(?:\(0\
 AHVN = re.compile(r"756(?<![\w.]756)[ .-]?\d{4}[ .-]?\d{4}[ .-]?\d\d(?!\d)")
 ACCOUNT = re.compile(r"\d\d(?<=[A-Za-z]{2}\d\d)(?:[ -]?\d)(?:[ -]?[\dA-Z]){10,30}")
 PASSPORT = re.compile(r"\d{7}(?!\w)(?<=[A-Z ]\d{7})")
-HOUSE = re.compile(r"\d(?<![\w.,'’/+-]\d)\d{0,2}[A-Za-z]?(?![\w'’/]|[.,:]\d|-\d| \d)")
+HOUSE = re.compile(r"\d(?<![\w.,'’/+-]\d)\d{0,2}[A-Za-z]?(?![\w'’/]|[.,:]\d|-\d| \d(?!\d{3} [A-ZÀ-Þ]))")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w]*(?:[-'’][^\W\d_]+)*")
 CAPITALS = re.compile(r"[^\W\d_]+(?:[-'’./][^\W\d_]+)*[./]?,?")
 ENGLISH = re.compile(r" (?:[A-ZÄÖÜ][\w'’-]+ ){1,3}?(?=[A-Z])[A-Z][a-z]+\b\.?|(?: [A-Z]+){2,4}\b\.?")
@@ -62,22 +62,40 @@ def iban(value: str) -> bool:
     return IBAN_LENGTHS.get(s[:2]) == len(s) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def unwrapped(text: str, wrapped: bool) -> tuple[str, list[int] | None]:
-    """Canonical text, in scans with cut words joined and single line ends as blanks; and the positions, if any moved."""
-    plain, places = transducer().with_map(text)
-    if not wrapped:
-        return plain, places
-    out, at, last = [], [], 0
-    for m in re.finditer(r"(?<=[^\W_])[-¬‐][ \t]*\n[ \t]*(?=[^\W_])|[ \t]*\n(?![ \t]*\n)[ \t]*", plain):
+WRAP = re.compile(r"[-¬\u00ad‐]?[ \t]*\r?\n[ \t]*(?=\S)")
+
+
+def unwrapped(text: str) -> tuple[str, list[int] | None]:
+    """Canonical text with wrapped lines put together: cut words joined, ends of long unfinished lines as blanks. Short
+    lines stay apart, as in lists and tables. With it the positions in the text, if any moved."""
+    if "\n" not in text:
+        return transducer().with_map(text)
+    out, at, last, line = [], [], 0, 0
+    for m in WRAP.finditer(text):
         a, b = m.span()
-        cut = plain[a] in "-¬‐"
-        keep = cut and plain[a] == "-" and (plain[b].isupper() and not plain[a - 1].isupper() or plain[b].isdigit())
-        out.append(plain[last:a] + ("-" if keep else "" if cut else " "))
-        at.extend(range(last, a + (not cut or keep)))
+        sign = text[a] if text[a] in "-¬\u00ad‐" else ""
+        start, line = line, b
+        if a - start < 30 - 12 * bool(sign) or a == 0 or text[a - 1] in ".:;!?>\n" and not sign or "\t" in text[start:a]:
+            continue
+        cut = sign and text[a - 1].isalnum() and text[b].isalnum()
+        keep = cut and sign == "-" and (text[b].isupper() and not text[a - 1].isupper() or text[b].isdigit())
+        out.append(text[last:a] + ("-" if keep else "" if cut else sign + " "))
+        at.extend(range(last, a + (bool(keep) if cut else len(sign) + 1)))
         last = b
-    out.append(plain[last:])
-    at.extend(range(last, len(plain) + 1))
-    return "".join(out), [places[i] for i in at] if places else at
+    if not out:
+        return transducer().with_map(text)
+    out.append(text[last:])
+    at.extend(range(last, len(text) + 1))
+    plain, places = transducer().with_map("".join(out))
+    return plain, [at[i] for i in places] if places else at
+
+
+def fold(word: str) -> str:
+    """Lower case without accents, and umlauts alike in all spellings."""
+    low = word.lower()
+    if not low.isascii():
+        low = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
+    return low.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
 class Lexicon:
@@ -91,7 +109,7 @@ class Lexicon:
         """(kind: 0 other, 1 given, 2 family, 3 maybe, family score, given use, family use, initial)."""
         got = self.memo.get(token)
         if got is None:
-            low = token.lower()
+            low = fold(token)
             parts = [p for p in re.split(r"[-'’]", low) if p]
             score = min((self.ends.get(p[-5:], self.ends.get(p[-4:], self.ends.get(p[-3:], -1.0))) for p in parts), default=-3.0)
             g, f = self.used.get(low, (0.0, 0.0))
@@ -295,7 +313,7 @@ class Finder:
             if not text:
                 plains.append(("", None))
                 continue
-            plain, at = unwrapped(text, is_scan(text))
+            plain, at = unwrapped(text)
             plains.append((plain, at))
             for tag, a, b, f in candidates(plain, self.lexicon):
                 owners.append(i)
@@ -325,7 +343,7 @@ def learn(rows: list[tuple[str, list[tuple[str, int, int]]]], given: set[str], f
     cut = len(rows) - len(rows) // 5
     plains = []
     for text, labels in rows:
-        plain, at = unwrapped(text, False)
+        plain, at = unwrapped(text)
         if at:
             back = {p: i for i, p in reversed(list(enumerate(at)))}
             labels = [(t, back.get(a, -1), back.get(b, -1)) for t, a, b in labels]
@@ -336,7 +354,7 @@ def learn(rows: list[tuple[str, list[tuple[str, int, int]]]], given: set[str], f
             w = m[0]
             if not w[0].isupper() or len(w) < 3:
                 continue
-            low = w.lower()
+            low = fold(w)
             seen[low] += 1
             home = next(((a, b) for a, b in inside if a <= m.start() and m.end() <= b), None)
             if home:
@@ -385,7 +403,7 @@ def fit(examples: DataFrame, names: DataFrame, rows: int = TRAIN_ROWS) -> Finder
     sample = hash_sample(own, "text", rows, own.count()).collect()
     lists: dict[str, set[str]] = defaultdict(set)
     for r in names.where("name_form is not null").select("name_form", "kind").limit(1_000_000).collect():
-        lists[r["kind"]].update(p for p in [r["name_form"].strip().lower()] if len(p) > 1)
+        lists[r["kind"]].update(p for p in [fold(r["name_form"].strip())] if len(p) > 1)
     labelled = [(r["text"], [(s["tag"], s["start_pos"], s["end_pos"]) for s in r["spans"] if s is not None and s["start_pos"] is not None and s["end_pos"] is not None]) for r in sample]
     return learn(labelled, lists["given"], lists["family"])
 
