@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Items that one packing task takes. A shard leaves at most a few containers part-empty, so the loss falls with its size.
 SHARD_ITEMS = 20_000
 
@@ -75,6 +77,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, shard_item
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     sized = items.select(F.col(id_col).alias("_id"), F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("_size"))
+    sized = cut(sized)  # sizes are costly and read by the count, the rests and the full pieces
     total = sized.count()
     shards = max(1, -(-total // shard_items))
     whole = F.when(F.col("_size") > capacity, F.expr(f"cast((_size - 1) div {capacity} as int)")).otherwise(F.lit(0))
