@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Blocks that the total is divided into, and rows that one shard of a source holds at most on average.
 BLOCKS, SHARD_ROWS, MOST_SHARDS = 20_000, 100_000, 4_096
 
@@ -43,6 +45,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_
         for r in targets.where(F.col("source").isNotNull()).groupBy(F.col("source").alias("_source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("_share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("_most")).orderBy("_source").collect()
     ]
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("_size")).where(F.col("_source").isin([s for s, _, _ in wanted]) & (F.col("_size") > 0))
+    sized = cut(sized)  # sizes are costly and read by the sums and by the draw
     sums = {(r["_source"], r["_slot"]): (r["n"], r["tokens"]) for r in sized.groupBy("_source", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(MOST_SHARDS)).alias("_slot")).agg(F.count("*").alias("n"), F.sum("_size").alias("tokens")).collect()}
     have, rows = dict.fromkeys([s for s, _, _ in wanted], 0), dict.fromkeys([s for s, _, _ in wanted], 0)
     for (s, _), (n, tokens) in sums.items():
