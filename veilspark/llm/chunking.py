@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import VOCABULARY, clean, encoding, slices
+from .tokens import VOCABULARY, clean, count, encoding, slices
 
 #: Separators from coarse to fine; a cut stands after the match. Below the last, texts are cut between tokens.
 LEVELS = (
@@ -38,9 +38,10 @@ def pieces(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[
     """(start, end, tokens) of each piece; a text within the limit is one piece, an empty one none."""
     if not text:
         return []
+    total = count(text, path)
+    if total <= limit:
+        return [(0, len(text), total)]
     starts = spans_of_tokens(text, path)
-    if len(starts) <= limit:
-        return [(0, len(text), len(starts))]
     room, atoms = limit - overlap, []
     size = lambda a, b: bisect_left(starts, b) - bisect_left(starts, a)
 
