@@ -15,6 +15,11 @@ CARRY = (0, 9, 4, 6, 8, 2, 7, 1, 3, 5)
 UID_WEIGHTS = (5, 4, 3, 2, 7, 6, 5, 4)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -111,13 +116,13 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {
 def _spread(key: Column, factor: int, width: int) -> Column:
     """A number of the given width from a key: multiplied by a factor prime to the power of ten, so that keys below it
     never meet."""
-    return F.lpad(F.pmod(key.cast("decimal(38,0)") * factor, F.lit(10**width).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string"), width, "0")
+    return F.lpad(F.pmod(key.cast("decimal(38,0)") * factor, F.lit(str(10**width)).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string"), width, "0")
 
 
 def make_ahvn13(key: Column) -> Column:
     body = F.concat(F.lit("756"), _spread(key, 7919, 9))
-    full = F.concat(body, ean13_check(body).cast("string"))
-    return F.concat_ws(".", F.substring(full, 1, 3), F.substring(full, 4, 4), F.substring(full, 8, 4), F.substring(full, 12, 2))
+    full = bind(body, lambda b: F.concat(b, ean13_check(b).cast("string")))
+    return bind(full, lambda n: F.concat_ws(".", F.substring(n, 1, 3), F.substring(n, 4, 4), F.substring(n, 8, 4), F.substring(n, 12, 2)))
 
 
 def make_gln(key: Column) -> Column:
@@ -126,31 +131,31 @@ def make_gln(key: Column) -> Column:
 
 
 def make_uid(key: Column) -> Column:
-    """A number without check digit is replaced by its neighbour in the seventh place, which always has one or the next."""
-    body = _spread(key, 7919, 8)
-    for _ in range(3):
-        body = F.when(uid_check(body).isNull(), F.lpad(F.pmod(body.cast("bigint") + 1, F.lit(10**8)).cast("string"), 8, "0")).otherwise(body)
-    full = F.concat(body, uid_check(body).cast("string"))
-    return F.concat(F.lit("CHE-"), F.concat_ws(".", F.substring(full, 1, 3), F.substring(full, 4, 3), F.substring(full, 7, 3)))
+    """A number without check digit is replaced by the next one that has one."""
+    number = _spread(key, 7919, 8).cast("bigint")
+    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lpad(F.pmod(number + i, F.lit(10**8)).cast("string"), 8, "0"))
+    checked = F.transform(tries, lambda t: F.concat(t, uid_check(t).cast("string")))
+    full = F.element_at(F.filter(checked, lambda t: t.isNotNull()), 1)
+    return bind(full, lambda n: F.concat(F.lit("CHE-"), F.concat_ws(".", F.substring(n, 1, 3), F.substring(n, 4, 3), F.substring(n, 7, 3))))
 
 
 def make_iban(key: Column) -> Column:
     account = F.concat(F.lit("00762"), _spread(key, 7919, 12))
     check = F.lpad((98 - mod97(F.concat(F.lit("CH00"), account))).cast("string"), 2, "0")
     full = F.concat(F.lit("CH"), check, account)
-    return F.concat_ws(" ", *[F.substring(full, 1 + 4 * i, 4) for i in range(6)])
+    return bind(full, lambda n: F.concat_ws(" ", *[F.substring(n, 1 + 4 * i, 4) for i in range(6)]))
 
 
 def make_qr_reference(key: Column) -> Column:
     body = _spread(key, 7919, 26)
-    full = F.concat(body, mod10_recursive(body).cast("string"))
-    return F.concat_ws(" ", F.substring(full, 1, 2), *[F.substring(full, 3 + 5 * i, 5) for i in range(5)])
+    full = bind(body, lambda b: F.concat(b, mod10_recursive(b).cast("string")))
+    return bind(full, lambda n: F.concat_ws(" ", F.substring(n, 1, 2), *[F.substring(n, 3 + 5 * i, 5) for i in range(5)]))
 
 
 def make_creditcard(key: Column) -> Column:
     body = F.concat(F.lit("4"), _spread(key, 7919, 14))
-    full = F.concat(body, luhn_check(body).cast("string"))
-    return F.concat_ws(" ", *[F.substring(full, 1 + 4 * i, 4) for i in range(4)])
+    full = bind(body, lambda b: F.concat(b, luhn_check(b).cast("string")))
+    return bind(full, lambda n: F.concat_ws(" ", *[F.substring(n, 1 + 4 * i, 4) for i in range(4)]))
 
 
 GENERATORS: dict[str, Callable[[Column], Column]] = {

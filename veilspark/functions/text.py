@@ -68,7 +68,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*>", " ")
     for name, sign in ENTITIES.items():
         x = F.replace(x, F.lit(name), F.lit(sign))
-    x = F.regexp_replace(x, r"[ \t ]+", " ")
+    x = F.regexp_replace(x, r"[ \t\u00A0]+", " ")
     x = F.regexp_replace(x, r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 

@@ -1,0 +1,57 @@
+"""Token labels: word tokens, BIO alignment and decoding, overlapping token windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import matches
+
+TOKEN = r"(?U)\w+|[^\w\s]"
+#: Usable tokens of a window and the step between windows: 512 less two marks, and an overlap of 128.
+USABLE, STEP = 510, 382
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<start, end, value>> of words and single signs."""
+    return matches(text, TOKEN)
+
+
+def align(toks: Column, spans: Column) -> Column:
+    """array<string>: B- at a span's first token, I- at its others, O outside. A token belongs to the first span it
+    meets."""
+
+    def label(t: Column) -> Column:
+        met = F.filter(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        s = F.element_at(met, 1)
+        first = F.array_min(F.transform(F.filter(toks, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])), lambda x: x["start"]))
+        return F.when(F.size(met) == 0, "O").when(t["start"] == first, F.concat(F.lit("B-"), s["tag"])).otherwise(F.concat(F.lit("I-"), s["tag"]))
+
+    return F.transform(toks, label)
+
+
+def conflicts(toks: Column, spans: Column) -> Column:
+    """Spans whose ends do not fall on token ends."""
+    return F.size(F.filter(spans, lambda s: ~(F.exists(toks, lambda t: t["start"] == s["start"]) & F.exists(toks, lambda t: t["end"] == s["end"]))))
+
+
+def decode(df: DataFrame, key: str, toks: str, labels: str) -> DataFrame:
+    """(key, tag, start_pos, end_pos): runs of labels as spans, by islands; an I- after another tag begins a span."""
+    rows = df.select(key, F.posexplode(F.arrays_zip(F.col(toks).alias("t"), F.col(labels).alias("l")))).select(key, "pos", F.col("col.t.start").alias("start_pos"), F.col("col.t.end").alias("end_pos"), F.col("col.l").alias("label"))
+    w = Window.partitionBy(key).orderBy("pos")
+    tag = F.when(F.col("label") != "O", F.substring("label", 3, 100))
+    rows = rows.withColumn("tag", tag).withColumn("_new", (F.col("tag").isNotNull() & (F.col("label").startswith("B-") | ~F.lag("tag").over(w).eqNullSafe(F.col("tag")))).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(w)).where("tag is not null")
+    return rows.groupBy(key, "_run", "tag").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_run")
+
+
+def windows(n_tokens: Column, usable: int = USABLE, step: int = STEP) -> Column:
+    """array<struct<start, end>> of overlapping windows over n tokens; 1 + ceil((n - usable) / step) of them."""
+    starts = F.when(n_tokens <= usable, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.ceil((n_tokens - usable) / step) * step).cast("int"), F.lit(step)))
+    return F.when(n_tokens > 0, F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + usable, n_tokens).cast("int").alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def best_of_windows(scored: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos, label, p): of each token the label of the window with the highest probability; the
+    earlier window wins ties."""
+    return scored.groupBy("doc_id", "start_pos", "end_pos").agg(F.max_by("label", F.struct("p", -F.col("window_no"))).alias("label"), F.max("p").alias("p"))

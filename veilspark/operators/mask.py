@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import ACTIONS, IN_PARTS, PROPAGATED
 from ..functions.text import bind, part
-from .recognise import NONE, SPAN, in_order, span
+from .recognise import NONE, in_order
 from .spans import lookup, resolve
 
 #: A placeholder: tag or user-defined name, number, letter of a variant.
@@ -19,17 +20,21 @@ PLACEHOLDER = r"\[[A-Za-z][A-Za-z0-9_]*_[0-9]+[a-z]*\]"
 LEAST_PART = 3
 
 
-def propagate(text: Column, spans: Column, tags: tuple[str, ...] = PROPAGATED) -> Column:
-    """The spans and every other place where their values stand as whole words: first whole values, then the parts of
-    names and organisations, in the order of the seeds; only free places are taken. Runs in Arrow batches, as what is
-    searched differs from row to row."""
+def propagate(df: DataFrame, text_col: str, spans_col: str, tags: tuple[str, ...] = PROPAGATED) -> DataFrame:
+    """The table with the spans and every other place where their values stand as whole words: first whole values, then
+    the parts of names and organisations, in the order of the seeds; only free places are taken.
 
-    @F.pandas_udf(NONE)
-    def run(texts: pd.Series, arrays: pd.Series) -> pd.Series:
-        return pd.Series([_propagated(t, [] if a is None else list(a), tags) for t, a in zip(texts, arrays)], dtype="object")
+    Runs over Arrow batches, as what is searched differs from row to row; other columns pass through untouched.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(spans_col))
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            new = [_propagated(t, s or [], tags) for t, s in zip(texts, own.to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index(spans_col), batch.schema.field(spans_col), pa.array(new, type=own.type))
 
-    # Not to be drawn into lambdas of later projections, where Python cannot be called.
-    return run.asNondeterministic()(text, spans)
+    return df.mapInArrow(run, df.schema)
 
 
 def _propagated(text: str | None, spans: list[dict], tags: tuple[str, ...]) -> list[dict]:
@@ -110,7 +115,7 @@ def mask_table(df: DataFrame, text_col: str, spans_col: str, excluded: tuple[str
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.withColumn("masked_spans", resolve(F.coalesce(F.col(spans_col), F.array().cast(NONE))))
     if follow:
-        out = out.withColumn("masked_spans", propagate(text, F.col("masked_spans"))).withColumn("masked_spans", resolve(F.col("masked_spans")))
+        out = propagate(out, text_col, "masked_spans").withColumn("masked_spans", resolve(F.col("masked_spans")))
     out = out.withColumn("_entries", numbered(text, F.col("masked_spans"), excluded))
     empty = F.create_map().cast("map<string,string>")
     return out.withColumn("masked", F.when(F.col(text_col).isNotNull(), replaced(text, F.col("_entries")))).withColumn("dictionary", dictionary(F.col("_entries")) if keep_dictionary else empty).drop("_entries")
