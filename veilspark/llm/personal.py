@@ -75,7 +75,7 @@ def unwrapped(text: str) -> tuple[str, list[int] | None]:
         a, b = m.span()
         sign = text[a] if text[a] in "-¬\u00ad‐" else ""
         start, line = line, b
-        if a - start < 30 - 12 * bool(sign) or a == 0 or text[a - 1] in ".:;!?>\n" and not sign or "\t" in text[start:a]:
+        if a - start < (18 if sign else 45) or a == 0 or text[a - 1] in ".:;!?>\n" and not sign or "\t" in text[start:a]:
             continue
         cut = sign and text[a - 1].isalnum() and text[b].isalnum()
         keep = cut and sign == "-" and (text[b].isupper() and not text[a - 1].isupper() or text[b].isdigit())
