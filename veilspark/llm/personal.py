@@ -66,16 +66,23 @@ WRAP = re.compile(r"[-¬\u00ad‐]?[ \t]*\r?\n[ \t]*(?=\S)")
 
 
 def unwrapped(text: str) -> tuple[str, list[int] | None]:
-    """Canonical text with wrapped lines put together: cut words joined, ends of long unfinished lines as blanks. Short
-    lines stay apart, as in lists and tables. With it the positions in the text, if any moved."""
+    """Canonical text with wrapped lines put together: cut words joined, and a line end as a blank where the next word
+    would not have fitted the width of the text. Shorter lines stay apart, as in lists and tables, and so do those of
+    texts that aren't wrapped. With it the positions in the text, if any moved."""
     if "\n" not in text:
         return transducer().with_map(text)
+    sizes = sorted(len(x.strip()) for x in text.split("\n"))
+    # Headings and footers may be longer than the lines of the text; a text with longer lines isn't wrapped.
+    width = sizes[int(0.9 * (len(sizes) - 1))] if sizes[-1] <= 110 else 1 << 30
     out, at, last, line = [], [], 0, 0
     for m in WRAP.finditer(text):
         a, b = m.span()
         sign = text[a] if text[a] in "-¬\u00ad‐" else ""
         start, line = line, b
-        if a - start < (18 if sign else 45) or a == 0 or text[a - 1] in ".:;!?>\n" and not sign or "\t" in text[start:a]:
+        if sign:
+            if a - start < 18:
+                continue
+        elif a == 0 or a - start < 25 or text[a - 1] in ":;!?>\n" or text[a - 1] == "." and not (text[a - 2].isupper() and text[a - 3 : a - 2] == " ") or a - start + 1 + len(text[b : b + 60].split(None, 1)[0]) < width - 1 or "\t" in text[start:a]:
             continue
         cut = sign and text[a - 1].isalnum() and text[b].isalnum()
         keep = cut and sign == "-" and (text[b].isupper() and not text[a - 1].isupper() or text[b].isdigit())
