@@ -33,9 +33,11 @@ MISREAD = {
     "vv": ("w",), "ii": ("ü", "u", "n"), "6": ("é", "b", "g"), "m": ("rn",), "8": ("b",), "a'": ("ä", "à"), "o'": ("ö", "ò"), "u'": ("ü", "ù"), "e'": ("é", "è"),
     "3": ("e",), "2": ("z",), "4": ("a",), "7": ("t",), "|": ("l",),
 }
+# Letters whose accent may be read as an apostrophe behind them.
+ACCENTED = frozenset(c for key in MISREAD if key.endswith("'") for c in (key[0], key[0].upper()))
 # Words after which, or before which, a hyphen hangs at a shortened word instead of cutting one.
 HANGING = frozenset("und oder bzw sowie bis et ou e ed o od and or y u noch als auch".split())
-WORD = re.compile(r"[^\W_]+(?:'(?=[^\W_])[^\W_]+)?")
+WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 PAGE_WORD = r"(?:seite|page|pagina|página|pag|s|p|blatt|foglio|feuille)"
 NUMBER = rf"(?:{PAGE_WORD}\.?\s*\d{{1,4}}(?:\s*(?:von|sur|di|of|de|/)\s*\d{{1,4}})?|[-–—]\s?\d{{1,4}}\s?[-–—]|[\[(]\s?\d{{1,4}}\s?[\])]|\d{{1,4}}\s?/\s?\d{{1,4}}|\d{{1,4}})"
 BARE = re.compile(rf"{NUMBER}", re.I)
@@ -218,6 +220,32 @@ def _find(word: str, key: str) -> Iterator[int]:
         i = word.find(key, i + 1)
 
 
+def readings(token: str) -> list[str]:
+    """The words that a token of WORD may hold: its parts between apostrophes, and runs of parts whose apostrophes may
+    each be the accent of a letter."""
+    parts = token.split("'")
+    out = list(parts)
+    for i in range(len(parts)):
+        for j in range(i + 1, len(parts)):
+            if parts[j - 1][-1] not in ACCENTED:
+                break
+            out.append("'".join(parts[i : j + 1]))
+    return out
+
+
+def respelled(token: str, fix: dict[str, str]) -> str:
+    """A token of WORD with its misread words corrected; the longest reading goes first."""
+    if "'" not in token:
+        return fix.get(token, token)
+    parts, out, i = token.split("'"), [], 0
+    while i < len(parts):
+        j = next((j for j in range(len(parts), i + 1, -1) if "'".join(parts[i:j]) in fix), i + 1)
+        word = "'".join(parts[i:j])
+        out.append(fix.get(word, word))
+        i = j
+    return "'".join(out)
+
+
 def recase(raw: str, lower: str, capital: bool) -> str:
     """The corrected word in the case of what stood there."""
     letters = [c for c in raw if c.isalpha()]
@@ -232,7 +260,8 @@ _EVIDENCE = "_id {0}, kind string, raw string, other string, mark string"
 
 
 def evidence(docs: DataFrame, model: Lines) -> DataFrame:
-    """(_id, kind, raw, other, mark): page lines, cuts and words of the scanned texts among (_id, _text)."""
+    """(_id, kind, raw, other, mark): page lines, cuts and words of the scanned texts among (_id, _text). The mark of a word
+    is the token with apostrophes that it is part of, if any."""
     shared = docs.sparkSession.sparkContext.broadcast((model.rates, model.moves))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +288,9 @@ def evidence(docs: DataFrame, model: Lines) -> DataFrame:
                     if i in at:
                         line = line.rstrip()[: -len(at[i][0]) - 1]
                         skip = at[i][1]
-                    found |= {("char", w, "", "") for w in WORD.findall(line) if len(w) > 2 and sum(map(str.isalpha, w)) * 2 > len(w)}
+                    for token in WORD.findall(line):
+                        words, mark = (readings(token), token) if "'" in token else ([token], "")
+                        found |= {("char", w, "", mark) for w in words if len(w) > 2 and sum(map(str.isalpha, w)) * 2 > len(w)}
                 out += [(key, *x) for x in found]
             yield pd.DataFrame(out, columns=["_id", "kind", "raw", "other", "mark"])
 
@@ -278,7 +309,7 @@ def decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     line: a page's line as it stands. word: raw and other are the parts of a cut word, piece the whole; a word whose
     hyphen is its own keeps it, and a hyphen that hangs before "und" and the like is no cut. char: raw is a misread
-    word, piece the right one. Null, empty and unwrapped texts have no rows; repeated rows count once per id.
+    word, piece the right one; in "l'adrcsse" the word is behind the apostrophe. Null, empty and unwrapped texts have no rows; repeated rows count once per id.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
 
@@ -309,7 +340,11 @@ def decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def cased(raw: pd.Series, low: pd.Series, cap: pd.Series) -> pd.Series:
         return pd.Series([recase(r, x, bool(c)) for r, x, c in zip(raw, low, cap)], dtype="object")
 
-    chars = found.where("kind = 'char'").withColumn("low", F.lower("raw")).join(fixes, "low").select("_id", "kind", "raw", "other", cased("raw", "form", "cap").alias("piece"))
+    chars = found.where("kind = 'char'").withColumn("low", F.lower("raw")).join(fixes, "low").select("_id", "kind", "raw", "other", "mark", cased("raw", "form", "cap").alias("piece"))
+    # Where an apostrophe is an accent, what stands at its sides are no words.
+    longer = chars.where(F.col("raw").contains("'")).select(F.col("_id").alias("_in"), F.col("mark").alias("_mark"), F.col("raw").alias("_raw"))
+    inside = (F.col("_id") == F.col("_in")) & (F.col("mark") == F.col("_mark")) & (F.length("_raw") > F.length("raw")) & F.col("_raw").contains(F.col("raw"))
+    chars = chars.join(longer, inside, "left_anti").drop("mark").distinct()
     whole = known.where("low = form").select("low", F.col("n").alias("n_whole"))
     apart = known.where(F.col("form").contains("-")).select("low", F.col("form").alias("hyphened"), F.col("n").alias("n_apart"))
     judged = cuts.join(whole, "low", "left").join(apart, ["low", "hyphened"], "left").join(fixes, "low", "left").na.fill(0, ["n_whole", "n_apart"])
@@ -348,7 +383,7 @@ def rebuilt(text: str | None, todo) -> tuple[str | None, bool]:
     fix = {x["raw"]: x["piece"] for x in todo if x["kind"] == "char"}
     join = {(x["raw"], x["other"]): x["piece"] for x in todo if x["kind"] == "word"}
     paragraphs, current, width = [], "", max(len(text[a:b].strip()) for a, b in lines_of(text))
-    swap = lambda s: WORD.sub(lambda m: fix.get(m[0], m[0]), s)
+    swap = lambda s: WORD.sub(lambda m: respelled(m[0], fix), s)
     blank = False
     for a, b in lines_of(text):
         line = text[a:b].strip()
