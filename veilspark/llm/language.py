@@ -36,7 +36,39 @@ KEPT_WORDS = 200_000
 
 WORD = re.compile(r"[^\W\d_]+(?:[-¬­‐]\s*\n\s*[^\W\d_]+)*")
 JOINT = re.compile(r"[^\w]+")
-END = re.compile(r"[.!?…\n\f](?:(?<=[.!?…])(?<!\b\d\.)(?<!\b\d\d\.)(?<!\b[^\W\d_]\.)[.!?…]*[\"'»”’)\]]*(?=\s|$)|(?<=\n)[ \t\r]*\n\s*|(?<=\f))")
+END = re.compile(r"[.!?…\n\f](?:(?<=[.!?…])(?<!\b[^\W\d_]\.)[.!?…]*[\"'»”’)\]]*(?=\s|$)|(?<=\n)[ \t\r]*\n\s*|(?<=\f))")
+# Months that may follow a number with a stop, and words that make such a number an ordinal.
+MONTHS = frozenset("januar jänner jan februar feber feb märz maerz mär april apr mai juni jun juli jul august aug september sept sep oktober okt november nov dezember dez janvier février mars avril juin juillet août septembre octobre novembre décembre gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre enero febrero abril mayo junio julio septiembre octubre noviembre diciembre".split())
+ORDINAL = frozenset("der die das den dem im vom zum zur beim".split())
+NEXT = re.compile(r"\s*[^\w\s]*([^\W\d_]+|\d)?([-¬­‐])?")
+
+
+def numbers(text: str, at: int, end: int) -> bool:
+    """Whether the stop at a place makes an ordinal of the one or two digits before it and ends no sentence: before a
+    month, a small letter or a digit, behind an article, and where a line begins with the number. A line that begins
+    inside a sentence, or inside a longer number, doesn't count."""
+    a = at
+    while a and at - a < 3 and text[a - 1].isdigit():
+        a -= 1
+    if not 1 <= at - a <= 2 or end > at + 1 or a and (text[a - 1].isalnum() or text[a - 1] == "_"):
+        return False
+    line = max(text.rfind("\n", 0, a), text.rfind("\f", 0, a)) + 1
+    if not text[line:a].strip():
+        above = text[text.rfind("\n", 0, max(0, line - 1)) + 1 : max(0, line - 1)].strip()
+        if not above or len(above) < 30 and not above[-1].isdigit() or above[-1] in ".:;!?>" or text[line - 1] == "\f":
+            return True
+    m = NEXT.match(text, end)
+    word = m[1]
+    if word is None:
+        return False
+    if word.isdigit():
+        return not re.search(r"\n\s*\n|\f", text[end : m.start(1)])
+    low = word.lower()
+    if word[0].islower() or low in MONTHS or m[2] and len(low) > 1 and any(x.startswith(low) for x in MONTHS):
+        return True
+    before = text[max(0, a - 8) : a].split()
+    return bool(before) and text[a - 1].isspace() and before[-1].lower() in ORDINAL
+
 
 def without_mail(text: str) -> str:
     """Mail addresses blanked in place: they are in no language."""
@@ -126,6 +158,8 @@ class Model:
         row, at, starts, out, a = self.words.__getitem__, [], [], [], 0
         for m in END.finditer(text):
             b = m.end()
+            if text[m.start()] == "." and m.start() and text[m.start() - 1].isdigit() and numbers(text, m.start(), b):
+                continue
             if tokens := WORD.findall(text, a, m.start()):
                 starts.append(len(at))
                 at.extend(map(row, tokens))
