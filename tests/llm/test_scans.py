@@ -10,3 +10,12 @@ def test_misread_words_behind_an_apostrophe_are_corrected(spark):
     assert {(r["kind"], r["piece"]) for r in S.decisions(df, "id", "t").collect()} == {("char", "adresse"), ("char", "autorisation"), ("char", "Geschäft")}
     text = {r["id"]: r["text"] for r in S.repair(df, "id", "t").collect()}
     assert "L'adresse de la" in text[1] and "de l'autorisation pour que Geschäft et jusqu'au" in text[1]
+
+
+def test_short_letters_that_wrap_before_capitals_are_scans():
+    letter = "Muster AG – zur Hundesteuer\nSehr geehrte Frau Muster\n\nDie Rechnung ist seit Monaten offen und das\nAmt hat sie zweimal angemahnt. Gemäss dem\nGesetz zahlen Sie dafür eine Pauschale von\n40 Franken.\n"
+    assert S.is_scan(letter + "1/2\nMuster AG – zur Hundesteuer\nGrüsse")
+    assert S.is_scan(letter.replace("und das\nAmt", "und\ndas Amt")) and not S.is_scan(letter)
+    table = "Register\n\nUrs Muster; Bachgasse 12; 031 555 66 30\nIda Muster; Bachgasse 14; 031 555 66 31\nEva Muster; Bachgasse 16; 031 555 66 32\n1/2"
+    assert not S.is_scan(table) and not S.is_scan(table.replace(";", "\t"))
+    assert not S.is_scan("Die Rechnung ist seit Monaten offen und das\nAmt hat sie zweimal angemahnt. " + "Gemäss dem Gesetz zahlen Sie. " * 9 + "\n1/2")

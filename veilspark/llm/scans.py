@@ -27,6 +27,9 @@ RATIO, LEAST = 8, 3
 #: Substitutions that one word may need.
 MOST_SWAPS = 2
 
+#: Signs of a line that may be a wrapped one.
+WRAPPED = 110
+
 # Readings of a scanner and what may have stood there.
 MISREAD = {
     "c": ("e",), "f": ("t",), "1": ("i", "l"), "0": ("o",), "5": ("s",), "b": ("h",), "rn": ("m",), "cl": ("d",), "9": ("g",),
@@ -45,6 +48,7 @@ WORDED = re.compile(rf"{PAGE_WORD}\b\.?\s*\d{{1,4}}.*", re.I)
 TAIL = re.compile(rf".*\w.*?(?:\s{{2,}}|\t|\s[–—|·]\s+){NUMBER}", re.I)
 LINE = re.compile(r"[^\n\f]*")
 CUT = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-¬­‐]\s*$")
+TABLE = re.compile(r"[\t;|]| / ")
 HEAD = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 
 
@@ -60,19 +64,28 @@ def lines_of(text: str) -> list[tuple[int, int]]:
 
 
 def is_scan(text: str | None) -> bool:
-    """Wrapped lines: at least two long lines without a sentence end that go on in lower case, whatever any notice says."""
+    """Wrapped lines: at least two long lines without a sentence end that go on in lower case, whatever any notice says.
+    In texts without lines of more than WRAPPED signs, those that go on with a capital or a digit count as well where the
+    next word would not have fitted, beside one that goes on in lower case or a line with a page number."""
     if not text or "\n" not in text:
         return False
     n, before = 0, ""
-    for line in text.split("\n"):
-        s = line.strip(" \r\f\t")
+    lines = [line.strip(" \r\f\t") for line in text.split("\n")]
+    for s in lines:
         if s:
             if len(before) >= 30 and before[-1] not in ".:;!?>" and (s[0].islower() or before[-1] in "-¬­‐"):
                 n += 1
                 if n >= 2:
                     return True
             before = s
-    return False
+    sizes = sorted(len(s) for s in lines if s)
+    if not sizes or sizes[-1] > WRAPPED or not n and not any(BARE.fullmatch(s) for s in lines):
+        return False
+    width = sizes[int(len(sizes) * 0.8)]
+    for before, s in zip(lines, lines[1:]):
+        if len(before) >= 30 and s and before[-1] not in ".:;!?>-¬­‐" and (s[0].isupper() or s[0].isdigit()) and not TABLE.search(before):
+            n += len(before) + 1 + len(s.split(None, 1)[0]) > width
+    return n >= 2
 
 
 def skeleton(line: str) -> str:
@@ -288,9 +301,10 @@ def evidence(docs: DataFrame, model: Lines) -> DataFrame:
                     if i in at:
                         line = line.rstrip()[: -len(at[i][0]) - 1]
                         skip = at[i][1]
-                    for token in WORD.findall(line):
-                        words, mark = (readings(token), token) if "'" in token else ([token], "")
-                        found |= {("char", w, "", mark) for w in words if len(w) > 2 and sum(map(str.isalpha, w)) * 2 > len(w)}
+                    words = [(w, "") for w in WORD.findall(line)]
+                    if "'" in line:
+                        words = [(part, w if "'" in w else "") for w, _ in words for part in readings(w)]
+                    found |= {("char", w, "", mark) for w, mark in words if len(w) > 2 and sum(map(str.isalpha, w)) * 2 > len(w)}
                 out += [(key, *x) for x in found]
             yield pd.DataFrame(out, columns=["_id", "kind", "raw", "other", "mark"])
 
