@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,10 @@ TAGS = ("FULLNAME", "PHONE", "EMAIL", "AHVN13", "IBAN", "IDDOC", "STREET")
 #: Labelled rows that fit the trees, at most, by hash order.
 TRAIN_ROWS = 6_000
 KEPT_WORDS = 200_000
+#: Words of a name that may stand anywhere in a run of name-like words.
+SHORT_NAME = 4
+#: Forms of the name list at most; it goes to every worker.
+MOST_NAMES = 2_000_000
 
 # Forms of address and what follows the name of an organisation, in five languages.
 TITLES = frozenset("herr herrn frau fräulein monsieur madame mademoiselle m mme mlle mr mrs ms miss signor signora signore signorina sig señor señora señorita sr sra dr prof".split())
@@ -39,16 +46,21 @@ AT = r"(?: ?@ ?| ?[\[({] ?(?:at|ät|arroba|chiocciola|arobase) ?[\])}] ?)"
 DOT = r"(?:\.| ?[\[({] ?(?:punkt|dot|point|punto|\.) ?[\])}] ?)"
 # Each pattern starts with a plain character class, so that a text is searched at native speed.
 SIGN = re.compile(rf"{AT}[\w-]+(?:{DOT}[\w-]+)*{DOT}[A-Za-z]{{2,10}}\b", re.I)
+AT_SIGN = re.compile(r"[@\[({]")
 LOCAL = re.compile(rf"[\w+-]+(?:{DOT}[\w+-]+)*$", re.I)
+SPELT_SIGNS = (" at ", " arroba ", " chiocciola ", " arobase ")
 SPELT = re.compile(r"[\w+.-]+ (?:at|arroba|chiocciola|arobase) [\w-]+(?: (?:punkt|dot|point|punto) [\w-]+)+", re.I)
 PHONE = re.compile(r"[+(0](?<![\w+.][+(0])(?:(?:(?<=\+)|(?<=0)0)41[ ./-]?(?:\(0\) ?)?|(?<=\()0(?=\d\d\))|(?<=0))\d\d\)?[ ./-]?\d{3}[ ./-]?\d\d[ ./-]?\d\d(?!\d)")
 AHVN = re.compile(r"756(?<![\w.]756)[ .-]?\d{4}[ .-]?\d{4}[ .-]?\d\d(?!\d)")
 ACCOUNT = re.compile(r"\d\d(?<=[A-Za-z]{2}\d\d)(?:[ -]?\d)(?:[ -]?[\dA-Z]){10,30}")
-PASSPORT = re.compile(r"\d{7}(?!\w)(?<=[A-Z ]\d{7})")
+PASSPORT = re.compile(r"[A-Z] ?\d{7}(?!\w)")
 HOUSE = re.compile(r"\d(?<![\w.,'’/+-]\d)\d{0,2}[A-Za-z]?(?![\w'’/]|[.,:]\d|-\d| \d(?!\d{3} [A-ZÀ-Þ]))")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w]*(?:[-'’][^\W\d_]+)*")
-CAPITALS = re.compile(r"[^\W\d_]+(?:[-'’./][^\W\d_]+)*[./]?,?")
-ENGLISH = re.compile(r" (?:[A-ZÄÖÜ][\w'’-]+ ){1,3}?(?=[A-Z])[A-Z][a-z]+\b\.?|(?: [A-Z]+){2,4}\b\.?")
+# A word of a street, read backwards from its end.
+WORD_BACK = re.compile(r",?[./]?[^\W\d_]++(?:[-'’./][^\W\d_]++)*+")
+ENGLISH = re.compile(r"(?: [A-ZÄÖÜ][\w'’-]+){2,}\.?|(?: [A-Z]+){2,}\b\.?")
+#: Words before a house number that may begin a street wherever they are capitalised.
+SHORT_STREET = 5
 TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 
 
@@ -61,39 +73,44 @@ def iban(value: str) -> bool:
     return IBAN_LENGTHS.get(s[:2]) == len(s) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-WRAP = re.compile(r"[-¬\u00ad‐]?[ \t]*\r?\n[ \t]*(?=\S)")
-
-
-SIGNED = re.compile(r"[-¬\u00ad‐][ \t]*\r?\n")
+#: Signs of a line that may be a wrapped one. Longer lines hold whole paragraphs: they end where the paragraph ends, and
+#: they tell nothing of the width at which the other lines are wrapped.
+WRAPPED = 110
+#: Texts are not wrapped at less than this.
+NARROWEST = 40
 
 
 def unwrapped(text: str) -> tuple[str, list[int] | None]:
     """Canonical text with wrapped lines put together: cut words joined, and a line end as a blank where the next word
-    would not have fitted the width of the text. Shorter lines stay apart, as in lists and tables, and so do those of
-    texts that aren't wrapped. With it the positions in the text, if any moved."""
+    would not have fitted the width of the text. Shorter lines stay apart, as in lists and tables; lines that hold a
+    whole paragraph are joined to nothing but don't change how the others are judged. With it the positions in the text,
+    if any moved."""
     if "\n" not in text:
         return transducer().with_map(text)
     lines = text.split("\n")
-    if max(map(len, lines)) > 110:
-        if not SIGNED.search(text):
-            return transducer().with_map(text)
-        width = 1 << 30
-    else:
-        # Headings and footers may be longer than the lines of the text.
-        sizes = sorted(len(x.strip()) for x in lines)
-        width = sizes[int(0.9 * (len(sizes) - 1))]
-    out, at, last, line = [], [], 0, 0
-    for m in WRAP.finditer(text):
-        a, b = m.span()
-        sign = text[a] if text[a] in "-¬\u00ad‐" else ""
-        start, line = line, b
+    sizes = sorted(map(len, lines))
+    sizes = sizes[: bisect_right(sizes, WRAPPED)]
+    # Headings and footers may be longer than the lines of the text.
+    width = max(NARROWEST, sizes[int(0.9 * (len(sizes) - 1))]) if sizes else NARROWEST
+    out, at, last, start = [], [], 0, 0
+    following = 0
+    for k in range(len(lines) - 1):
+        line, after = lines[k], lines[k + 1]
+        start, following = following, following + len(line) + 1
+        body, rest = line.rstrip("\r \t"), after.lstrip(" \t")
+        if not body or not rest or rest[0].isspace():
+            continue
+        begin = start + len(line) - len(line.lstrip(" \t")) if k else 0
+        sign = body[-1] if body[-1] in "-¬\u00ad‐" else ""
+        a = start + len(body) - len(sign)
         if sign:
-            if a - start < 18:
+            if a - begin < 18:
                 continue
-        elif a == 0 or a - start < 25 or text[a - 1] in ":;!?>\n" or text[a - 1] == "." and not (text[a - 2].isupper() and text[a - 3 : a - 2] == " ") or a - start + 1 + len(text[b : b + 60].split(None, 1)[0]) < width - 1 or "\t" in text[start:a]:
+        elif not 25 <= a - begin <= WRAPPED or body[-1] in ":;!?>" or body[-1] == "." and not (body[-2:-1].isupper() and body[-3:-2] == " ") or a - begin + 1 + len(rest.split(None, 1)[0]) < width - 1 or "\t" in body:
             continue
-        cut = sign and text[a - 1].isalnum() and text[b].isalnum()
-        keep = cut and sign == "-" and (text[b].isupper() and not text[a - 1].isupper() or text[b].isdigit())
+        b = following + len(after) - len(rest)
+        cut = sign and text[a - 1].isalnum() and rest[0].isalnum()
+        keep = cut and sign == "-" and (rest[0].isupper() and not text[a - 1].isupper() or rest[0].isdigit())
         out.append(text[last:a] + ("-" if keep else "" if cut else sign + " "))
         at.extend(range(last, a + (bool(keep) if cut else len(sign) + 1)))
         last = b
@@ -162,11 +179,20 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, tuple]]
         out.append((2, a, b, feature(2, (len(v), v.count("."), "@" in v, " " in v, "[" in v or "(" in v, " at " in v, sum(map(str.isdigit, v))))))
         taken.append((a, b))
 
-    if "@" in text or "(" in text or "[" in text or "{" in text:
-        for m in SIGN.finditer(text):
-            if local := LOCAL.search(text, max(0, m.start() - 80), m.start()):
+    end = 0
+    for sign in AT_SIGN.finditer(text):
+        # From the sign, or the blank before it.
+        a = sign.start()
+        m = SIGN.match(text, a - 1 if a > end and text[a - 1] == " " else a) if a >= end else None
+        if m:
+            end, back = m.end(), 80
+            # A name that reaches the start of the window goes on before it.
+            while (local := LOCAL.search(text, max(0, m.start() - back), m.start())) and 0 < local.start() == m.start() - back:
+                back *= 4
+            if local:
                 mail(local.start(), m.end())
-    if " at " in text or " arroba " in text or " chiocciola " in text or " AT " in text:
+    low = text.lower()
+    if any(x in low for x in SPELT_SIGNS):
         for m in SPELT.finditer(text):
             mail(*m.span())
     for m in PHONE.finditer(text):
@@ -185,8 +211,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, int, tuple]]
                 numeric(4, a, i + 1)
                 break
     for m in PASSPORT.finditer(text):
-        a = m.start() - (2 if text[m.start() - 1] == " " else 1)
-        if a >= 0 and "A" <= text[a] <= "Z" and not (a and (text[a - 1].isalnum() or text[a - 1] in ".-")):
+        a = m.start()
+        if not (a and (text[a - 1].isalnum() or text[a - 1] in ".-")):
             numeric(5, a, m.end())
     for m in HOUSE.finditer(text):
         _streets(text, *m.span(), out)
@@ -201,61 +227,108 @@ def feature(tag: int, own: tuple) -> tuple:
 
 
 def _streets(text: str, a: int, b: int, out: list) -> None:
-    if not (text[a - 1 : a] == " " and a > 1 or text[b : b + 1] == " "):
-        return
-    if any(map(str.isupper, text[text.rfind(" ", 0, a - 1) + 1 : a])):
+    if text[a - 1 : a] == " " and a > 1:
         _before_number(text, a, b, out)
-    _after_number(text, a, b, out)
+    if text[b : b + 1] == " " and text[b + 1 : b + 2].isupper():
+        _after_number(text, a, b, out)
+
+
+class StreetWord(NamedTuple):
+    """The word that ends a run of signs without blanks: its length, and whether it is all of them."""
+
+    size: int
+    whole: bool
+    capital: bool
+    comma: bool
+    low: str
+    first: bool
+    last: bool
+    tail: bool
+
+
+@lru_cache(maxsize=KEPT_WORDS)
+def _street_word(signs: str) -> StreetWord | None:
+    m = WORD_BACK.match(signs[::-1])
+    if not m:
+        return None
+    word = m[0][::-1]
+    low = word.rstrip(",").lower().rstrip(".")
+    return StreetWord(len(word), len(word) == len(signs), word[0].isupper(), word[-1] == ",", low, low in STREET_FIRST, low.endswith(STREET_LAST), low.rsplit("-", 1)[-1] in STREET_LAST)
 
 
 def _before_number(text: str, a: int, b: int, out: list) -> None:
-    line = max(text.rfind("\n", 0, a), text.rfind("\t", 0, a), a - 60)
-    left = text[line + 1 : a]
-    if left.endswith((" ", ", ")) and left.strip():
-        words = list(CAPITALS.finditer(left.rstrip()))
-        # The words right before the number, back to at most five; each start at a capital is a candidate.
-        end = len(left.rstrip())
-        run = []
-        for w in reversed(words):
-            if w.end() != end or len(run) == 5:
-                break
-            run.append(w)
-            end = w.start() - 1 if w.start() and left[w.start() - 1] == " " else -1
-        for k, w in enumerate(run):
-            if not w[0][0].isupper():
-                continue
-            inner = [x[0].rstrip(",") for x in reversed(run[: k + 1])]
-            if any(x[0].endswith(",") for x in run[1 : k + 1]):
-                break
-            first, last = inner[0].lower().rstrip("."), inner[-1].lower().rstrip(".")
-            before = run[k + 1][0] if k + 1 < len(run) else ""
-            tail = last.rsplit("-", 1)[-1]
-            out.append((6, line + 1 + w.start(), b, feature(6, (1, k + 1, first in STREET_FIRST, last.endswith(STREET_LAST), tail in STREET_LAST, sum(x[0].isupper() for x in inner), len(last), left.endswith(", "), before.lower().rstrip(".,") in STREET_FIRST, bool(before) and before[0].isupper(), text[b : b + 2] == ", ", text[b - 1].isalpha(), len(inner[0]), text[b : b + 1] == "." and text[b + 1 : b + 3].strip()[:1].islower()))))
+    """Spans of words right before the number, in one line and without a comma inside: any that start with a capital, up
+    to SHORT_STREET words back, and beyond that any that start with a word that begins streets."""
+    stop, run = a - 1, []
+    line = max(text.rfind("\n", 0, a), text.rfind("\t", 0, a)) + 1
+    while stop > line:
+        start = max(text.rfind(" ", line, stop) + 1, line)
+        word = _street_word(text[start:stop])
+        if word is None or run and word.comma:
+            break
+        run.append((stop - word.size, word))
+        if not word.whole:
+            break
+        stop = start - 1
+    if not run:
+        return
+    end = run[0][1]
+    follows, letter = text[b : b + 2] == ", ", text[b - 1].isalpha()
+    ordinal = text[b : b + 1] == "." and text[b + 1 : b + 3].strip()[:1].islower()
+    capitals = 0
+    for k, (at, word) in enumerate(run):
+        capitals += word.capital
+        if word.capital and (k < SHORT_STREET or word.first):
+            before = run[k + 1][1] if k + 1 < len(run) else None
+            out.append((6, at, b, feature(6, (1, k + 1, word.first, end.last, end.tail, capitals, len(end.low), end.comma, before is not None and before.first, before is not None and before.capital, follows, letter, word.size, ordinal))))
 
 
 def _after_number(text: str, a: int, b: int, out: list) -> None:
-    m = ENGLISH.match(text, b) if text[b : b + 1] == " " and text[b + 1 : b + 2].isupper() else None
+    m = ENGLISH.match(text, b)
     if m:
         words = m[0].split()
-        for k in range(2, len(words) + 1):
-            last = words[k - 1].lower().rstrip(".")
-            if last not in STREET_ENGLISH:
+        end = b
+        for k, word in enumerate(words, 1):
+            end += 1 + len(word)
+            if k < 2:
                 continue
-            end = b + len(" " + " ".join(words[:k]))
-            if words[k - 1].endswith(".") and text[end - 1] == ".":
-                end -= 1
-            out.append((6, a, end, feature(6, (2, k, last in STREET_ENGLISH, 0, 0, k, len(last), 0, 0, 0, text[end : end + 2] == ", ", text[b - 1].isalpha()))))
+            last = word.lower().rstrip(".")
+            stop = end - 1 if word.endswith(".") else end
+            out.append((6, a, stop, feature(6, (2, k, last in STREET_ENGLISH, 0, 0, k, len(last), 0, 0, 0, text[stop : stop + 2] == ", ", text[b - 1].isalpha()))))
+
+
+TITLE_ENDS = frozenset(t[-2:] for t in TITLES if len(t) > 1)
 
 
 def titled(text: str, a: int) -> bool:
     """Whether the word before a place is a form of address."""
     if a < 2 or text[a - 1] not in " \n":
         return False
+    c = text[a - 2]
+    if c.isalpha() and c not in "mM" and text[a - 3 : a - 1].lower() not in TITLE_ENDS:
+        return False
     words = text[max(0, a - 14) : a - 1].rsplit(None, 1)
-    word = words[-1].strip(".,:;(-") if words else ""
+    return bool(words) and _is_title(words[-1])
+
+
+@lru_cache(maxsize=KEPT_WORDS)
+def _is_title(word: str) -> bool:
+    word = word.strip(".,:;(-")
     return word.lower() in TITLES and word != "m"
 
 
+def _ends(run: list[int], x: int, stops: set[int]) -> Iterator[int]:
+    """Where a name that starts at a place of a run may end: up to SHORT_NAME words, and beyond that at the end of its
+    part between commas, or anywhere if it starts where such a part starts. So their number is linear in the run."""
+    yield from range(x, min(x + SHORT_NAME, len(run)))
+    opens = x == 0 or x - 1 in stops
+    for y in range(x + SHORT_NAME, len(run)):
+        if opens or y in stops:
+            yield y
+        if y in stops:
+            break
+
+
 def _names(text: str, lexicon: Lexicon, out: list, taken: list[tuple[int, int]]) -> None:
     memo, word = lexicon.memo, lexicon.word
     tokens = [(m.start(), m.end(), m[0]) for m in CAPITAL.finditer(text)]
@@ -270,27 +343,28 @@ def _names(text: str, lexicon: Lexicon, out: list, taken: list[tuple[int, int]])
             i += 1
             continue
         # A run of name-like words: blanks, initials with a stop, at most one comma at a time.
-        run, j = [i], i
-        while j + 1 < n and len(run) < 9:
+        run, j, stops = [i], i, set()
+        while j + 1 < n:
             gap = text[tokens[j][1] : tokens[j + 1][0]]
             kind = kinds_of[j + 1]
             if kind and (gap == " " or gap == ". " and kinds_of[j] == 4 or gap == ", " and kinds_of[j] in (2, 3) and kind in (1, 3)):
+                if gap == ", ":
+                    stops.add(len(run) - 1)
                 run.append(j + 1)
                 j += 1
             else:
                 break
+        stops.add(len(run) - 1)
         for x in range(len(run)):
             first = run[x]
             start = tokens[first][0]
-            before_text = text[max(0, start - 24) : start]
             before = ""
-            for y in range(x, min(x + 4, len(run))):
-                span = run[x : y + 1]
-                last = span[-1]
-                kinds = [kinds_of[t] for t in span]
+            for y in _ends(run, x, stops):
+                last = run[y]
+                kinds = kinds_of[first : last + 1]
                 end = tokens[last][1]
                 if y == x:
-                    if kinds[0] == 4 or not titled(text, start):
+                    if kinds[0] == 4 or not (title if x == 0 and kinds[0] in (0, 3) else titled(text, start)):
                         continue
                 elif not (2 in kinds or 3 in kinds) and 1 not in kinds:
                     continue
@@ -300,27 +374,29 @@ def _names(text: str, lexicon: Lexicon, out: list, taken: list[tuple[int, int]])
                     break
                 while k + 1 < size and taken[k][1] <= start and taken[k + 1][1] <= start:
                     k += 1
-                if any(s < end and start < e for s, e in taken[max(0, k - 1) : k + 4]):
+                if size and any(s < end and start < e for s, e in taken[max(0, k - 1) : k + 4]):
                     continue
                 if kinds[-1] == 4:
                     if text[end : end + 1] != ".":
                         continue
                     end += 1
                 if not before:
-                    before = (before_text.lower().split() or ["^"])[-1].strip(".,:;(<-[|") or "^"
+                    before = (text[max(0, start - 24) : start].lower().split() or ["^"])[-1].strip(".,:;(<-[|") or "^"
+                    title_before, odds_before, organised_before = before in TITLES, lexicon.before.get(before, 0.0), before in ORGANISED
+                    back = kinds_of[first - 1] if first and 0 < start - tokens[first - 1][1] <= 2 else -1
                 after = text[end : end + 24]
                 words = after.split(None, 2) or [""]
                 following = words[1] if words[0] == "&" and len(words) > 1 else words[0]
                 near = last + 1 < n and 0 < tokens[last + 1][0] - tokens[last][1] <= 2
-                back = first and 0 < start - tokens[first - 1][1] <= 2
                 info = infos[last]
+                ones, initials = kinds.count(1), kinds.count(4)
                 out.append((0, start, end, feature(0, (
-                    len(span), kinds[0], kinds[-1], kinds[1] if len(kinds) > 1 else -1, kinds.count(1), kinds.count(2) + kinds.count(3), kinds.count(4),
-                    commas, (kinds[0] in (2, 3)) if commas else -1, min(infos[t][1] for t in span), info[1], info[3], infos[first][2],
-                    before in TITLES, lexicon.before.get(before, 0.0), x, len(run) - 1 - y,
+                    len(kinds), kinds[0], kinds[-1], kinds[1] if len(kinds) > 1 else -1, ones, kinds.count(2) + kinds.count(3), initials,
+                    commas, (kinds[0] in (2, 3)) if commas else -1, min([t[1] for t in infos[first : last + 1]]), info[1], info[3], infos[first][2],
+                    title_before, odds_before, x, len(run) - 1 - y,
                     after[:1] == " " and following.lower().strip(".,;:") in ORGANISED, after[:2] == " &" or after[:3] == " + ",
-                    kinds_of[last + 1] if near else -1, kinds_of[first - 1] if back else -1,
-                    after[:1] == " " and words[0][:1].isdigit(), before in ORGANISED, inner.isupper(), text[end : end + 2] == ", " and near and kinds_of[last + 1] == 1,
+                    kinds_of[last + 1] if near else -1, back,
+                    after[:1] == " " and words[0][:1].isdigit(), organised_before, inner.isupper(), text[end : end + 2] == ", " and near and kinds_of[last + 1] == 1,
                 ))))
         i = j + 1
 
@@ -331,10 +407,11 @@ def select(found: list[tuple[int, int, int]], scores: list[float], limits: list[
     kept: list[tuple[int, int, int, float]] = []
     for i in order:
         t, a, b = found[i]
-        if all(b <= x or y <= a for _, x, y, _ in kept):
-            kept.append((t, a, b, scores[i]))
-    kept.sort(key=lambda x: x[1])
-    return [x for x in kept if not (x[0] == 3 and not ean13(re.sub(r"\D", "", text[x[1] : x[2]])) or x[0] == 4 and not iban(text[x[1] : x[2]]))]
+        # Kept spans are apart and in order, so only the neighbours can overlap.
+        k = bisect_right(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            kept.insert(k, (a, b, t, scores[i]))
+    return [(t, a, b, score) for a, b, t, score in kept if not (t == 3 and not ean13(re.sub(r"\D", "", text[a:b])) or t == 4 and not iban(text[a:b]))]
 
 
 class Finder:
@@ -424,7 +501,7 @@ def learn(rows: list[tuple[str, list[tuple[str, int, int]]]], given: set[str], f
         for t in range(len(TAGS)):
             own = tags == t
             best = 0.0
-            for limit in np.arange(0.3, 0.75, 0.05):
+            for limit in np.arange(0.1, 0.75, 0.05):
                 hit = (scores >= limit) & own
                 f1 = 2 * (hit & truth).sum() / max(1, hit.sum() + (truth & own).sum())
                 if f1 > best + 1e-3:
@@ -437,7 +514,10 @@ def fit(examples: DataFrame, names: DataFrame, rows: int = TRAIN_ROWS) -> Finder
     own = examples.where((F.length("text") > 0) & (F.size("spans") > 0)).select("text", "spans")
     sample = hash_sample(own, "text", rows, own.count()).collect()
     lists: dict[str, set[str]] = defaultdict(set)
-    for r in names.where("name_form is not null").select("name_form", "kind").limit(1_000_000).collect():
+    forms = names.where("name_form is not null and kind is not null").select("name_form", "kind").distinct()
+    if forms.count() > MOST_NAMES:
+        raise ValueError(f"the name list has more than {MOST_NAMES} forms")
+    for r in forms.collect():
         lists[r["kind"]].update(p for p in [fold(r["name_form"].strip())] if len(p) > 1)
     labelled = [(r["text"], [(s["tag"], s["start_pos"], s["end_pos"]) for s in r["spans"] if s is not None and s["start_pos"] is not None and s["end_pos"] is not None]) for r in sample]
     return learn(labelled, lists["given"], lists["family"])
