@@ -71,3 +71,19 @@ def test_empty_tables(spark):
     empty = examples(spark, [])
     templates = spark.createDataFrame([], TP)
     assert S.split(empty, templates, {"train": 1.0}).count() == 0 and S.groups(empty, templates)[0].count() == 0
+
+
+def test_hubs_are_spread(spark):
+    edges = [("hub", f"h{i}") for i in range(400)] + [("hub", "hub2")] + [("hub2", f"g{i}") for i in range(300)] + [(f"p{i}", f"p{i + 1}") for i in range(30)] + [("p30", "h5"), ("x", "y"), ("z", "z")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    assert found(S.components(df, hot_links=20)) == truth(edges) == found(S.components(df, one_task=0, hot_links=20))
+
+
+def test_ranges_are_cut_in_hash_order():
+    buckets = {(lang, b): 10 for lang in ("de", "fr") for b in range(100)}
+    out = S.cuts(buckets, {lang: {"train": 800, "validation": 100, "test": 100} for lang in ("de", "fr")})
+    for lang in ("de", "fr"):
+        own = [out[lang, b] for b in range(100)]
+        assert own == ["train"] * 80 + ["validation"] * 10 + ["test"] * 10
+    # Where no split needs more, all take alike.
+    assert sorted(S.cuts({("de", b): 5 for b in range(4)}, {"de": {"train": -3.0, "test": 0.0}}).values()) == ["test", "test", "train", "train"]

@@ -130,3 +130,33 @@ def test_residue_of_templates_and_pages(spark):
     templates = spark.createDataFrame([(c,) for c in content], "text string")
     got = {r["id"] for r in R.mark_residue(df, templates, "id", "t").collect() if r["residue"]}
     assert got == set(range(len(real) + len(decoys), len(real) + len(decoys) + len(pages) + len(slots)))
+
+
+def test_classes_without_pairs_and_words_of_one_script(spark):
+    rows = [(1, "Abc"), (2, "Аbc"), (3, "Abc"), (4, None), (5, "abc"), (8, "Abc­")]
+    df = spark.createDataFrame(rows, "id bigint, t string").withColumn("class_id", F.lit("clash"))
+    got = {r["id"]: (r["class_id"], r["strings"], r["links"]) for r in C.classes(df, "id", "t").collect()}
+    assert got == {1: (1, 3, 2), 3: (1, 3, 2), 2: (1, 3, 3), 8: (1, 3, 3), 5: (5, 1, 0)}
+    t = C.transducer()
+    assert t("Москва") == t("Mосква") == "Москва" and t("Ελλάδα") == t("Eλλάδα") == "Ελλάδα" and t("АВС") == "ABC"
+    assert t("ｶﾞ") == "ガ" == t(t("ｶﾞ")) and t.with_map("Mосква")[0] == "Москва"
+
+
+def test_clusters_equal_the_standard_form():
+    import random
+
+    t, rng = C.transducer(), random.Random(1)
+    marks = [chr(c) for c in range(0x300, 0x34F)]
+    for _ in range(5000):
+        s = rng.choice("aeiouncsAEOüé") + "".join(rng.choice(marks) for _ in range(rng.randint(0, 4)))
+        assert t(s) == unicodedata.normalize("NFC", s.replace("͏", "")), ascii(s)
+
+
+def test_samples_are_whole_distinct_and_bounded(spark):
+    from veilspark.llm.common import text_sample
+
+    df = spark.createDataFrame([("x" * 50, "a")] * 500 + [(f"text {i} " * 20, "ab"[i % 2]) for i in range(400)] + [(None, "a"), ("", "b")], "t string, k string")
+    got = text_sample(df, "t", 50, 10**6, "k")
+    assert set(got) == {"a", "b"} and all(40 <= len(v) <= 50 and len(set(v)) == len(v) for v in got.values())
+    assert all(x == "x" * 50 or x.endswith(" ") for v in got.values() for x in v)
+    assert sum(map(len, text_sample(df, "t", 50, 1000)[""])) <= 1000 and text_sample(df.where("k = 'z'"), "t", 5, 5) == {}

@@ -77,6 +77,52 @@ def hash_sample(df: DataFrame, column: str, rows: int, of: int) -> DataFrame:
     return df.orderBy(h).limit(rows)
 
 
+def text_sample(df: DataFrame, column: str, rows: int, chars: int, by: str | None = None) -> dict[str, list[str]]:
+    """Distinct texts for a fit on the driver, under the value of `by` (or ""): of each value at most so many, by hash
+    order, and so many characters in all; texts are taken whole, and one that would exceed the characters is passed over.
+
+    Hashes alone are counted over all rows. A threshold on them leaves about twice the rows, whatever the size of the
+    table, and copies of a text are put together before anything is sent.
+    """
+    own = df.where(F.length(column) > 0).select((F.col(by) if by else F.lit("")).alias("_by"), F.col(column).alias("_x"), F.xxhash64(column).alias("_h"))
+    kinds = {r["_by"]: r["n"] for r in own.groupBy("_by").agg(F.approx_count_distinct("_h").alias("n")).collect()}
+    if not kinds:
+        return {}
+    top = 1 << 30
+    parts = {k: min(top, int(top * 2 * rows / max(1, n))) for k, n in kinds.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("_by"))
+    some = own.where(F.pmod("_h", F.lit(top)) < limit)
+    sizes = some.groupBy("_by", "_h").agg(F.first(F.length("_x")).alias("n"))
+    chosen: dict[str, list[int]] = {k: [] for k in kinds}
+    spent = dict.fromkeys(kinds, 0)
+    for r in sorted(sizes.collect(), key=lambda r: r["_h"] & 0xFFFFFFFFFFFFFFFF):
+        k = r["_by"]
+        if len(chosen[k]) < rows and spent[k] + r["n"] <= chars:
+            chosen[k].append(r["_h"])
+            spent[k] += r["n"]
+    wanted = [(k, h) for k, hs in chosen.items() for h in hs]
+    if not wanted:
+        return {k: [] for k in kinds}
+    pick = F.broadcast(df.sparkSession.createDataFrame(wanted, "_by string, _h bigint"))  # rows x kinds at most
+    got = some.join(pick, ["_by", "_h"], "left_semi").groupBy("_by", "_h").agg(F.first("_x").alias("_x")).collect()
+    out: dict[str, list[str]] = {k: [] for k in kinds}
+    for r in sorted(got, key=lambda r: r["_h"] & 0xFFFFFFFFFFFFFFFF):
+        out[r["_by"]].append(r["_x"])
+    return out
+
+
+#: Partitions that the rows of one key are dealt to.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: str | list[str], salt: Column, how: str = "left") -> DataFrame:
+    """A join of a table in which one key may hold most rows with a smaller one: the rows of a key go to SALTS partitions
+    by the salt, and the other side comes once for each."""
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = [keys, "_salt"] if isinstance(keys, str) else [*keys, "_salt"]
+    return many.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(copies, on, how).drop("_salt")
+
+
 def stacked(parts: Iterable[DataFrame]) -> DataFrame:
     """All rows of some tables of the same columns."""
     first, *rest = parts

@@ -5,13 +5,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Blocks that the total is divided into, and rows that one shard of a source holds at most on average.
+#: Blocks that the total is divided into, rows that one shard of a source holds at most on average, and shards of one.
 BLOCKS, SHARD_ROWS, MOST_SHARDS = 20_000, 100_000, 4_096
+#: Target sources at most; their names and numbers go to the driver and to every task.
+MOST_SOURCES = 100_000
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:
@@ -37,55 +40,58 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_
     target, or size 0 are never drawn. A source named twice in targets counts by its summed share and least repeats;
     null shares and repeats count as 0.
 
-    The driver holds one number per source and shard: at most sources x MOST_SHARDS.
+    The driver holds one number for each target source (MOST_SOURCES at most); shards stay in tables.
     """
     spark = docs.sparkSession
-    wanted = [
-        (r["_source"], float(r["_share"]), int(r["_most"]))
-        for r in targets.where(F.col("source").isNotNull()).groupBy(F.col("source").alias("_source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("_share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("_most")).orderBy("_source").collect()
-    ]
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("_size")).where(F.col("_source").isin([s for s, _, _ in wanted]) & (F.col("_size") > 0))
-    sized = cut(sized)  # sizes are costly and read by the sums and by the draw
-    sums = {(r["_source"], r["_slot"]): (r["n"], r["tokens"]) for r in sized.groupBy("_source", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(MOST_SHARDS)).alias("_slot")).agg(F.count("*").alias("n"), F.sum("_size").alias("tokens")).collect()}
-    have, rows = dict.fromkeys([s for s, _, _ in wanted], 0), dict.fromkeys([s for s, _, _ in wanted], 0)
-    for (s, _), (n, tokens) in sums.items():
-        have[s] += tokens
-        rows[s] += n
-    everything = sum(have.values())
+    wanted = targets.where(F.col("source").isNotNull()).groupBy(F.col("source").alias("_source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("_share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("_most"))
+    goals = wanted.orderBy("_source").limit(MOST_SOURCES + 1).collect()
+    if len(goals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
+    names = F.broadcast(spark.createDataFrame([(r["_source"],) for r in goals], "_source string"))
+    slot = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(MOST_SHARDS)).cast("int")
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("_size")).where("_size > 0")
+    sized = cut(sized.join(names, "_source", "left_semi"))  # sizes are costly and read by the sums and by the draw
+    sums = cut(sized.groupBy("_source", slot.alias("_slot")).agg(F.count("*").alias("n"), F.sum("_size").alias("tokens")))
+    found = {r["_source"]: (r["n"], r["tokens"]) for r in sums.groupBy("_source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
+    everything = sum(tokens for _, tokens in found.values())
     total = everything if total is None else total
     block = max(1, total // BLOCKS)
-    seats = sainte_lague([share for _, share, _ in wanted], total // block if total else 0)
+    seats = sainte_lague([r["_share"] for r in goals], total // block if total else 0)
     report, plan = [], []
-    for (s, share, most), n in zip(wanted, seats):
+    for r, n in zip(goals, seats):
+        s, share, most = r["_source"], float(r["_share"]), int(r["_most"])
+        rows, have = found.get(s, (0, 0))
         quota = n * block
-        reachable = have[s] * most >= share * total
-        give = min(quota, have[s] * most)
-        whole = min(most, give // have[s]) if have[s] else 0
-        left = give - whole * have[s] if whole < most else 0
+        # A source falls short if it is given the blocks that it can fill, or more; whether the last block is a whole one
+        # is then settled by the tokens themselves.
+        short = n + 1 >= have * most // block and have * most < share * total
+        give = min(quota, have * most)
+        whole = min(most, give // have) if have else 0
         shards = 1
-        while shards < MOST_SHARDS and shards * SHARD_ROWS < rows[s]:
+        while shards < MOST_SHARDS and shards * SHARD_ROWS < rows:
             shards *= 2
-        inside = [0] * shards
-        for (name, slot), (_, tokens) in sums.items():
-            if name == s:
-                inside[slot % shards] += tokens
-        unit = max(1, block // 16)
-        for k, q in enumerate(sainte_lague(inside, left // unit)):
-            plan.append((s, k, shards, int(whole), int(q * unit)))
-        report.append((s, float(share), int(most), int(have[s]), int(quota), bool(reachable)))
-    plans = spark.createDataFrame(plan, "_source string, _shard int, _shards int, _whole int, _left bigint") if plan else spark.createDataFrame([], "_source string, _shard int, _shards int, _whole int, _left bigint")
-    shards_of = {s: n for s, _, n, _, _ in plan}
-    number = F.element_at(F.create_map(*[F.lit(x) for p in shards_of.items() for x in p]), F.col("_source")) if shards_of else F.lit(1)
-    placed = sized.withColumn("_shard", F.pmod(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(MOST_SHARDS)), number).cast("int"))
+        plan.append((s, shards, int(whole), int(give - whole * have) if whole < most else 0, max(1, block // 16)))
+        report.append((s, share, most, int(have), int(quota), not short))
+    plans = F.broadcast(spark.createDataFrame(plan, "_source string, _shards int, _whole int, _rest bigint, _unit bigint"))  # one row a source
+
+    def shares_of(part: pd.DataFrame) -> pd.DataFrame:
+        seats = sainte_lague(part["tokens"].tolist(), int(part["_rest"].iloc[0] // part["_unit"].iloc[0]))
+        return part[["_source", "_shard", "_whole"]].assign(_left=[int(n * part["_unit"].iloc[0]) for n in seats])
+
+    shard = F.pmod(F.col("_slot"), F.col("_shards")).cast("int")
+    # A source has MOST_SHARDS shards at most, so a task of this holds that many rows.
+    inside = sums.join(plans, "_source").groupBy("_source", shard.alias("_shard"), "_whole", "_rest", "_unit").agg(F.sum("tokens").alias("tokens"))
+    quotas = inside.groupBy("_source").applyInPandas(shares_of, "_source string, _shard int, _whole int, _left bigint")
+    placed = sized.join(plans.select("_source", "_shards"), "_source").withColumn("_slot", slot).withColumn("_shard", shard)
     order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64("_id", F.lit(seed + 1)), "_id")
     # A document is drawn while the running middle of its tokens lies within the quota: the error is half a document.
     before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chosen = placed.join(F.broadcast(plans), ["_source", "_shard"]).withColumn("_before", F.coalesce(before, F.lit(0)))
+    chosen = placed.withColumn("_before", F.coalesce(before, F.lit(0))).join(quotas, ["_source", "_shard"])
     chosen = chosen.withColumn("repeats", F.col("_whole") + (F.col("_before") + F.col("_size") / 2 <= F.col("_left")).cast("int"))
     selection = chosen.where("repeats > 0").select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("tokens"), "repeats")
     reached = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.count("*").alias("drawn_docs"), F.max("repeats").alias("most_repeats"))
     base = spark.createDataFrame(report, "source string, target_share double, max_repeats int, source_tokens bigint, quota_tokens bigint, reachable boolean")
     filled = base.join(reached, "source", "left").na.fill(0, ["drawn_tokens", "drawn_docs", "most_repeats"])
-    everywhere = Window.partitionBy(F.lit(1))
+    everywhere = Window.partitionBy(F.lit(1))  # one row a source
     shares = filled.withColumn("actual_share", F.try_divide(F.col("drawn_tokens").cast("double"), F.sum("drawn_tokens").over(everywhere))).withColumn("share_of_total", F.lit(1.0 / total if total else 0.0) * F.col("drawn_tokens"))
     return selection, shares

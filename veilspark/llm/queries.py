@@ -90,6 +90,10 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", canonical.canonical(F.col("text")).alias("text"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.classes(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = canonical.same_look(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))

@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample
+from .common import text_sample
 
-#: Records that fit the classifier: at most so many trusted ones, and so many others, by hash order.
-TRUSTED_ROWS, OTHER_ROWS = 4_000, 16_000
+#: Records that fit the classifier: at most so many distinct ones by hash order, of which so many others than the trusted
+#: ones take part in the rounds; templates; and characters of each sample.
+SAMPLE_ROWS, OTHER_ROWS, TEMPLATE_ROWS, SAMPLE_CHARS = 40_000, 16_000, 20_000, 60_000_000
 ROUNDS = 8
 #: A record is residue if the slot marks of one passage, or a run of passages, weigh more than these.
 PASSAGE_ODDS, RUN_ODDS = 3.0, 8.0
@@ -60,11 +61,16 @@ def is_slot(feature: str) -> bool:
     return feature[:1] == "#" and feature.endswith(("name", "lead", "words", "word"))
 
 
+def kind_of(feature: str) -> str:
+    """A slot's feature without its brackets, for bracket forms that were never seen."""
+    return f"*{next(k for k in ('name', 'lead', 'words', 'word') if feature.endswith(k))}"
+
+
 def features(passage: str) -> list[str]:
     words = []
     for token in WORD.findall(passage):
         words.append("0" * min(len(token), 4) if token.isdigit() else token.lower() if token[0].isalpha() else mark(token))
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])] + [kind_of(w) for w in words if is_slot(w)]
 
 
 def passages(text: str) -> list[str]:
@@ -95,7 +101,6 @@ class Bayes:
 
     def __init__(self, content_texts: list[str], trusted_texts: list[str], other_texts: list[str], rounds: int = ROUNDS):
         content = Counter(f for text in content_texts for x in passages(re.sub(r"\{[^{}]*\}", " ", text)) for f in features(x))
-        known = {f for f in content if " " in f}
         sure = [[features(x) for x in passages(t)] for t in trusted_texts]
         # Of a record with slots only the passages with slots are residue; the rest is content.
         positive, negative = Counter(), Counter(content)
@@ -103,12 +108,12 @@ class Bayes:
             slots = [any(is_slot(f) for f in part) for part in parts]
             for part, slot in zip(parts, slots):
                 if slot:
-                    positive.update(f for f in part if f[:1] == "#")
+                    positive.update(f for f in part if f[:1] in "#*")
                 elif any(slots):
                     negative.update(part)
                 else:
                     positive.update(part)
-        others = [Counter(f for x in passages(t) for f in features(x)) for t in other_texts if not trusted(t, known)]
+        others = [Counter(f for x in passages(t) for f in features(x)) for t in other_texts]
         posterior = [0.0] * len(others)
         self.weights: dict[str, float] = {}
         self.unseen = 0.0
@@ -124,6 +129,7 @@ class Bayes:
             size_p, size_n, kinds = sum(p.values()), sum(n.values()), len(p.keys() | n.keys()) or 1
             smooth = 0.05
             base_p, base_n = math.log(size_p + smooth * kinds), math.log(size_n + smooth * kinds)
+            self.unseen = base_n - base_p
             self.weights = {f: math.log(p[f] + smooth) - base_p - math.log(n[f] + smooth) + base_n for f in p.keys() | n.keys()}
             mass = sum(posterior) + len(sure)
             self.prior = math.log((mass + 1) / (len(others) + len(sure) - mass + 1))
@@ -143,7 +149,8 @@ class Bayes:
             fs = features(x)
             slot = [f for f in fs if is_slot(f)]
             odds = 0.5 * sum(self.weights.get(f, 0.0) for f in fs)
-            out.append((max(self.weights.get(f, 4.0) for f in slot) if slot else odds, bool(slot)))
+            # A bracket form that was never seen counts as its kind, and one of an unseen kind as any unseen feature.
+            out.append((max(self.weights.get(f, self.weights.get(kind_of(f), self.unseen)) for f in slot) if slot else odds, bool(slot)))
         return out
 
     def residue(self, text: str | None) -> tuple[bool, float]:
@@ -164,33 +171,25 @@ class Bayes:
         return best > 0, best
 
 
-def fit(records: DataFrame, templates: DataFrame, text_col: str, trusted_rows: int = TRUSTED_ROWS, other_rows: int = OTHER_ROWS) -> Bayes:
+def fit(records: DataFrame, templates: DataFrame, text_col: str, rows: int = SAMPLE_ROWS, other_rows: int = OTHER_ROWS) -> Bayes:
     """Fit on the driver on a bounded sample by hash order; every record is scored later, whatever the sample held."""
-    content = [r["text"] for r in templates.where("text is not null").select("text").limit(20_000).collect()]
+    content = text_sample(templates, "text", TEMPLATE_ROWS, SAMPLE_CHARS).get("", [])
     known = {f for t in content for x in passages(re.sub(r"\{[^{}]*\}", " ", t)) for f in features(x) if " " in f}
-
-    @F.pandas_udf("boolean")
-    def sure(part: pd.Series) -> pd.Series:
-        return pd.Series([trusted(x, known) for x in part], dtype="bool")
-
-    texts = records.where(F.length(text_col) > 0).select(F.col(text_col).alias("x")).distinct()
-    some = cut(texts.where(F.length("x") < 20_000).select("x", sure("x").alias("sure")))
-    n = {r["sure"]: r["count"] for r in some.groupBy("sure").count().collect()}
-    a = [r["x"] for r in hash_sample(some.where("sure"), "x", trusted_rows, n.get(True, 0)).collect()]
-    b = [r["x"] for r in hash_sample(some, "x", other_rows, sum(n.values())).collect()]
-    return Bayes(content, a, b)
+    sure, others = [], []
+    for x in text_sample(records, text_col, rows, SAMPLE_CHARS).get("", []):
+        (sure if trusted(x, known) else others).append(x)
+    return Bayes(content, sure, others[:other_rows])
 
 
 def mark_residue(records: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, residue, odds) for every row; null, empty and blank texts are kept (residue = false, odds 0)."""
     id_type = dict(records.dtypes)[id_col]
-    records = cut(records.select(id_col, text_col))  # read by the sample and by the scoring
     model = fit(records, templates, text_col)
-    weights = records.sparkSession.sparkContext.broadcast((model.weights, model.prior))
+    weights = records.sparkSession.sparkContext.broadcast((model.weights, model.prior, model.unseen))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bayes = Bayes.__new__(Bayes)
-        bayes.weights, bayes.prior = weights.value
+        bayes.weights, bayes.prior, bayes.unseen = weights.value
         for part in parts:
             got = [bayes.residue(x) for x in part["_text"]]
             yield pd.DataFrame({"_id": part["_id"], "residue": [r for r, _ in got], "odds": [o for _, o in got]})

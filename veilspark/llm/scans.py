@@ -11,22 +11,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample
+from .common import cut, text_sample
 
-#: Scanned texts that refine the line model, at most, by hash order; the sample is bounded as the model has few numbers.
-TRAIN_TEXTS = 400
+#: Scanned texts that refine the line model, at most, by hash order, and characters of them; the model has few numbers.
+TRAIN_TEXTS, TRAIN_CHARS = 400, 10_000_000
 STATES = ("body", "break", "header", "footer")
 #: A correction must be so many times as frequent as the word that stands there, and as frequent as this at least.
 RATIO, LEAST = 8, 3
-#: Substitutions that one word may need.
-MOST_SWAPS = 2
-
 #: Signs of a line that may be a wrapped one.
 WRAPPED = 110
 
@@ -36,6 +32,10 @@ MISREAD = {
     "vv": ("w",), "ii": ("ü", "u", "n"), "6": ("é", "b", "g"), "m": ("rn",), "8": ("b",), "a'": ("ä", "à"), "o'": ("ö", "ò"), "u'": ("ü", "ù"), "e'": ("é", "è"),
     "3": ("e",), "2": ("z",), "4": ("a",), "7": ("t",), "|": ("l",),
 }
+# Letters that some reading makes one, and letters that stand for several. By this map, letter by letter, a
+# reading and whatever may have stood there are the same, so a word keeps its skeleton under any number of misreadings.
+ONE = {"e": "c3éè6bgh89", "t": "f7", "i": "l1|", "o": "0öò", "s": "5", "z": "2", "a": "4äà", "u": "üù"}
+SEVERAL = {"m": "rii", "u": "ii", "n": "ii", "d": "ei", "w": "vv"}
 # Letters whose accent may be read as an apostrophe behind them.
 ACCENTED = frozenset(c for key in MISREAD if key.endswith("'") for c in (key[0], key[0].upper()))
 # Words after which, or before which, a hyphen hangs at a shortened word instead of cutting one.
@@ -48,6 +48,7 @@ WORDED = re.compile(rf"{PAGE_WORD}\b\.?\s*\d{{1,4}}.*", re.I)
 TAIL = re.compile(rf".*\w.*?(?:\s{{2,}}|\t|\s[–—|·]\s+){NUMBER}", re.I)
 LINE = re.compile(r"[^\n\f]*")
 CUT = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-¬­‐]\s*$")
+HYPHENS = ("-", "¬", "­", "‐")
 TABLE = re.compile(r"[\t;|]| / ")
 HEAD = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 
@@ -210,27 +211,37 @@ def parse(text: str, model: Lines) -> tuple[list[tuple[int, int, int]], list[tup
         between = rows[i + 1 : j]
         if all(k == 1 for _, _, k in between) and len(between) > 1:
             continue  # a new paragraph of the same page
-        left, right = CUT.search(text[rows[i][0] : rows[i][1]]), HEAD.match(text[rows[j][0] : rows[j][1]])
+        line = text[rows[i][0] : rows[i][1]]
+        left, right = CUT.search(line) if line.rstrip()[-1:] in HYPHENS else None, HEAD.match(text[rows[j][0] : rows[j][1]])
         if left and right:
             cuts.append((left[1], right[1], left[0].rstrip()[-1], i))
     return rows, cuts
 
 
-def variants(word: str) -> list[str]:
-    """What may have stood for a word in lower case: up to MOST_SWAPS readings undone."""
-    places = [(i, key, to) for key, tos in MISREAD.items() for i in _find(word, key) for to in tos]
-    out = {word[:i] + to + word[i + len(key) :] for i, key, to in places}
-    for (i, k1, t1), (j, k2, t2) in product(places, places) if MOST_SWAPS > 1 and len(places) <= 24 else ():
-        if i + len(k1) <= j:
-            out.add(word[:i] + t1 + word[i + len(k1) : j] + t2 + word[j + len(k2) :])
-    return [x for x in out if x.isalpha() and x != word]
+def skeleton_col(word: Column) -> Column:
+    """The skeleton of a word in lower case; apostrophes, which may be accents, are left out."""
+    x = F.translate(word, "".join(ONE.values()) + "'", "".join(k * len(v) for k, v in ONE.items()))
+    for letter, several in SEVERAL.items():
+        x = F.replace(x, F.lit(letter), F.lit(several))
+    return x
+
+
+_READ: dict[str, list[tuple[str, str]]] = {}
+for _key, _tos in MISREAD.items():
+    _READ.setdefault(_key[0], []).extend((_key, to) for to in _tos)
 
 
-def _find(word: str, key: str) -> Iterator[int]:
-    i = word.find(key)
-    while i >= 0:
-        yield i
-        i = word.find(key, i + 1)
+def swaps(word: str, form: str) -> int | None:
+    """How many readings of a word must be undone to get a form; None if that can't be done."""
+    reach: dict[int, dict[int, int]] = {0: {0: 0}}
+    for i, c in enumerate(word):
+        for j, n in reach.pop(i, {}).items():
+            steps = [(1, 1, n)] if form[j : j + 1] == c else []
+            steps += [(len(key), len(to), n + 1) for key, to in _READ.get(c, ()) if word.startswith(key, i) and form.startswith(to, j)]
+            for a, b, m in steps:
+                at = reach.setdefault(i + a, {})
+                at[j + b] = min(m, at.get(j + b, m))
+    return reach.get(len(word), {}).get(len(form))
 
 
 def readings(token: str) -> list[str]:
@@ -325,28 +336,44 @@ def decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hyphen is its own keeps it, and a hyphen that hangs before "und" and the like is no cut. char: raw is a misread
     word, piece the right one; in "l'adrcsse" the word is behind the apostrophe. Null, empty and unwrapped texts have no rows; repeated rows count once per id.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    scans, model = fitted(docs, id_col, text_col)
+    return _decided(docs, scans, model, id_col, text_col)
+
+
+def scanned(text: Column) -> Column:
+    """is_scan as a column; false for null texts."""
 
     @F.pandas_udf("boolean")
-    def scanned(part: pd.Series) -> pd.Series:
+    def judged(part: pd.Series) -> pd.Series:
         return pd.Series([is_scan(x) for x in part], dtype="bool")
 
-    scans = cut(base.where(scanned("_text")))
-    n = scans.count()
-    model = Lines().fit([r["_text"] for r in hash_sample(scans.where(F.length("_text") < 20_000), "_text", TRAIN_TEXTS, n).collect()])
+    return judged(text)
+
+
+def fitted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Lines]:
+    """The scanned texts as (_id, _text), and the model of their lines."""
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    scans = cut(base.where(scanned(F.col("_text"))))
+    return scans, Lines().fit(text_sample(scans, "_text", TRAIN_TEXTS, TRAIN_CHARS).get("", []))
+
+
+def _decided(docs: DataFrame, scans: DataFrame, model: Lines, id_col: str, text_col: str) -> DataFrame:
     found = cut(evidence(scans, model))
-    words = vocabulary(base, "_text")
+    words = cut(vocabulary(docs.where(F.length(text_col) > 0), text_col))
     cuts = found.where("kind = 'word'").withColumn("low", F.lower(F.concat("raw", "other"))).withColumn("hyphened", F.lower(F.concat("raw", F.lit("-"), "other")))
     tokens = found.where("kind = 'char'").select(F.lower("raw").alias("low")).unionByName(cuts.select("low")).distinct()
+    asked = tokens.withColumn("form", F.col("low")).unionByName(cuts.select("low", F.col("hyphened").alias("form")).distinct())
+    known = cut(asked.join(words, F.col("form") == F.col("word")).select("low", "form", "n", "capital"))
 
-    @F.pandas_udf("array<string>")
-    def forms(part: pd.Series) -> pd.Series:
-        return pd.Series([variants(x) for x in part], dtype="object")
+    @F.pandas_udf("boolean")
+    def readable(word: pd.Series, form: pd.Series) -> pd.Series:
+        return pd.Series([swaps(w, f) is not None for w, f in zip(word, form)], dtype="bool")
 
-    asked = tokens.withColumn("form", F.explode(F.concat(F.array("low"), forms("low")))).unionByName(cuts.select("low", F.col("hyphened").alias("form")).distinct())
-    known = cut(asked.join(words, F.col("form") == F.col("word")).select("low", "form", "n", "capital"))
+    # Only words that are frequent enough to correct others are compared, with those of their skeleton.
+    frequent = words.where((F.col("n") >= LEAST) & ~F.col("word").contains("-")).withColumn("bones", skeleton_col(F.col("word")))
+    alike = tokens.withColumn("bones", skeleton_col(F.col("low"))).join(frequent, "bones").where("low <> word")
+    better = alike.where(readable("low", "word")).select("low", F.col("word").alias("form"), "n", "capital")
     itself = known.where("low = form").select("low", F.col("n").alias("own"))
-    better = known.where((F.col("low") != F.col("form")) & ~F.col("form").contains("-"))
     best = better.groupBy("low").agg(F.max_by(F.struct("form", "n", "capital"), F.struct("n", "form")).alias("b"))
     fixes = cut(best.join(itself, "low", "left").where((F.col("b.n") >= LEAST) & (F.col("b.n") >= RATIO * F.coalesce("own", F.lit(0)))).select("low", F.col("b.form").alias("form"), (F.col("b.capital") * 2 > F.col("b.n")).alias("cap")))
 
@@ -376,50 +403,59 @@ def decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repair(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, repaired): continuous paragraphs; texts that are no scans, null and empty ones come back unchanged."""
-    todo = decisions(docs, id_col, text_col).groupBy(id_col).agg(F.collect_set(F.struct("kind", "raw", "other", "piece")).alias("_todo"))
+    """(id, text, repaired): continuous paragraphs; texts that are no scans, null and empty ones come back unchanged.
+
+    Only scanned texts are joined with what to repair in them; all others are passed through where they are.
+    """
+    scans, model = fitted(docs, id_col, text_col)
+    todo = _decided(docs, scans, model, id_col, text_col).groupBy(id_col).agg(F.collect_set(F.struct("kind", "raw", "other", "piece")).alias("_todo"))
     id_type = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast((model.rates, model.moves))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Lines()
+        own.rates, own.moves = shared.value
+        own._logs()
         for part in parts:
-            rows = [(key, *rebuilt(text, todo)) for key, text, todo in part.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["_id", "text", "repaired"])
+            rows = [(key, rebuilt(text, todo, own)) for key, text, todo in part.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["_id", "text"])
 
-    joined = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(todo, id_col, "left").select(F.col(id_col).alias("_id"), "_text", "_todo")
-    return joined.mapInPandas(run, f"_id {id_type}, text string, repaired boolean").withColumnRenamed("_id", id_col)
+    joined = scans.join(todo.withColumnRenamed(id_col, "_id"), "_id", "left").select("_id", "_text", "_todo")
+    mended = joined.mapInPandas(run, f"_id {id_type}, text string").select(F.col("_id").alias(id_col), "text", F.lit(True).alias("repaired"))
+    rest = docs.select(id_col, F.col(text_col).alias("text")).where(~scanned(F.col("text")))
+    return mended.unionByName(rest.withColumn("repaired", F.lit(False)))
 
 
-def rebuilt(text: str | None, todo) -> tuple[str | None, bool]:
-    if not is_scan(text):
-        return text, False
+def rebuilt(text: str, todo, model: Lines) -> str:
+    """The body lines of a scanned text put together: the states of the lines say what is left out and where paragraphs
+    may end, and an unfinished sentence goes on over such a place."""
     todo = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in (todo if todo is not None else [])]
-    drop = {x["raw"] for x in todo if x["kind"] == "line"}
     fix = {x["raw"]: x["piece"] for x in todo if x["kind"] == "char"}
     join = {(x["raw"], x["other"]): x["piece"] for x in todo if x["kind"] == "word"}
-    paragraphs, current, width = [], "", max(len(text[a:b].strip()) for a, b in lines_of(text))
+    rows, _ = parse(text, model)
+    paragraphs, current, width = [], "", max(b - a for a, b, _ in rows)
     swap = lambda s: WORD.sub(lambda m: respelled(m[0], fix), s)
-    blank = False
-    for a, b in lines_of(text):
-        line = text[a:b].strip()
-        if line in drop:
+    ended = False
+    for a, b, state in rows:
+        if state == 1:
+            ended = bool(current)
+        if state:
             continue
-        if not line:
-            blank = bool(current)
-            continue
-        left, right = CUT.search(current), HEAD.match(line)
+        line = text[a:b].strip()
+        left, right = CUT.search(current, current.rfind(" ") + 1) if current[-1:] in HYPHENS else None, HEAD.match(line)
         if left and right and (left[1], right[1]) in join:
             whole = join[left[1], right[1]]
             current = current[: left.start()] + (whole if len(whole) >= len(left[1] + right[1]) - 2 else left[1] + right[1]) + swap(line[right.end() :])
         elif current and current[-1] not in ".:!?-¬­‐" and line[0].islower():
             current += f" {swap(line)}"  # an unfinished sentence goes on, also over a page
-        elif current and (blank or len(current.rsplit("\n", 1)[-1]) < 0.5 * width and current[-1] in ".:!?,>"):
+        elif current and (ended or len(current.rsplit("\n", 1)[-1]) < 0.5 * width and current[-1] in ".:!?,>"):
             paragraphs.append(current)
             current = swap(line)
         elif current and (left and current[-1] in "-‐"):
             current += (" " if right and right[1].lower() in HANGING else "") + swap(line)
         else:
             current = f"{current} {swap(line)}" if current else swap(line)
-        blank = False
+        ended = False
     if current:
         paragraphs.append(current)
-    return "\n\n".join(paragraphs), True
+    return "\n\n".join(paragraphs)
