@@ -52,11 +52,12 @@ def test_resolve_against_brute_force(spark):
 
 
 def test_merge_thresholds_and_check_digits(spark):
-    text = "Hans Meier wohnt in Zuerich, 8001, bei der Alpin Treuhand AG. AHV 756.9217.0769.86"
-    scored = [("FULLNAME", 5, 10, 0.35), ("CITY", 20, 27, 0.35), ("CITY", 20, 27, 0.55), ("ZIPCODE", 29, 33, 0.55), ("AHVN13", 66, 82, 0.99), ("ORG", 44, 47, 0.9)]
+    text = "Ida Waldner lebt in Seefurt, 6298, mit der Brunnen Treuhand AG. Nummer 756.9217.0769.86"
+    at = lambda value, n=None: (text.index(value), text.index(value) + (n or len(value)))
+    scored = [("FULLNAME", *at("Waldner"), 0.35), ("CITY", *at("Seefurt"), 0.35), ("CITY", *at("Seefurt"), 0.55), ("ZIPCODE", *at("6298"), 0.55), ("AHVN13", *at("756.9217.0769.86"), 0.99), ("ORG", text.index("Brunnen") + 1, text.index("Brunnen") + 4, 0.9)]
     df = spark.createDataFrame([(text, scored, [])], f"text string, sc array<struct<tag:string,start:int,end:int,score:double>>, f array<{SPAN}>")
     m = df.select(S.merge(F.col("text"), F.col("sc"), F.col("f")).alias("m")).first()["m"]
-    assert [(s["tag"], s["start"], s["end"]) for s in m["spans"]] == [("FULLNAME", 5, 10), ("CITY", 20, 27), ("ORG", 43, 48)]
+    assert [(s["tag"], s["start"], s["end"]) for s in m["spans"]] == [("FULLNAME", *at("Waldner")), ("CITY", *at("Seefurt")), ("ORG", *at("Brunnen"))]
     assert {(x["tag"], x["reason"]) for x in m["dropped"]} == {("CITY", "unter Schwelle 0.50 (0.35)"), ("ZIPCODE", "unter Schwelle 0.70 (0.55)"), ("AHVN13", "Pruefsumme ungueltig")}
     assert m["widened"] == 1
 

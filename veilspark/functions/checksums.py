@@ -55,19 +55,29 @@ def uid_check(first8: Column) -> Column:
 
 
 def valid_uid(value: Column) -> Column:
-    core = F.trim(F.upper(value))
+    core = F.upper(F.regexp_replace(value, "[^A-Za-z0-9]", ""))
     for suffix in ("MWST", "TVA", "IVA", "HR"):
-        core = F.trim(F.regexp_replace(core, f"{suffix}$", ""))
-    d = digits(core)
-    good = core.startswith("CHE") & d.rlike("^[0-9]{9}$") & (uid_check(F.substring(d, 1, 8)) == F.substring(d, 9, 1).try_cast("int"))
+        core = F.regexp_replace(core, f"{suffix}$", "")
+    # Nothing but nine digits may follow the country.
+    d = F.regexp_extract(core, "^CHE([0-9]{9})$", 1)
+    good = (d != "") & (uid_check(F.substring(d, 1, 8)) == F.substring(d, 9, 1).try_cast("int"))
     return F.when(value.isNotNull(), F.coalesce(good, F.lit(False)))
 
 
 def mod97(compact: Column) -> Column:
-    """Remainder of an account number whose first four signs are moved to the end, letters as 10..35."""
+    """Remainder of an account number whose first four signs are moved to the end, letters as 10..35; nine digits at a
+    time are taken on to the remainder. Null where other signs are left."""
     turned = F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
-    value = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
-    return F.aggregate(value, F.lit(0), lambda a, x: (a * F.when(x < 10, 10).otherwise(100) + x) % 97)
+    for value in range(10, 36):
+        turned = F.replace(turned, F.lit(chr(value + 55)), F.lit(str(value)))
+
+    def rest(number: Column) -> Column:
+        r = F.lit("")
+        for k in range(8):  # 34 signs have 68 digits at most
+            r = (F.concat(r, F.substring(number, 1 + 9 * k, 9)).try_cast("bigint") % 97).cast("string")
+        return r.cast("int")
+
+    return bind(turned, rest)
 
 
 def valid_iban(value: Column, countries: tuple[str, ...] = ("CH", "LI")) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checksums import GENERATORS
 from ..functions.text import zone
+from .synthesis import PLAIN
 
 SLOT = r"\{[~@]?[A-Za-z0-9_]+\}"
 
@@ -54,12 +55,18 @@ def inject(rows: DataFrame, template_col: str, pools: Column, seed: int = 7) ->
     return filled.withColumn("text", F.when(template.isNotNull(), text)).withColumn("spans", F.col("_f.spans")).withColumn("decoys", F.col("_f.decoys")).drop("_f", "_slots", "_gaps", "_values")
 
 
+def _plain(word: Column) -> Column:
+    for letter, form in PLAIN.items():
+        word = F.replace(word, F.lit(letter), F.lit(form))
+    return word
+
+
 def noisy(word: Column, *key: Column) -> Column:
     """One typing error in words of four letters or more, never at the first: swap, drop, double, umlaut or upper case."""
     n = F.length(word)
     k = (F.pmod(F.xxhash64(*key, F.lit("at")), n - 2) + 2).cast("int")
     head, a, b, tail = F.substring(word, F.lit(1), k - 1), F.substring(word, k, F.lit(1)), F.substring(word, k + 1, F.lit(1)), F.substring(word, k + 2, n)
-    kinds = [F.concat(head, b, a, tail), F.concat(head, b, tail), F.concat(head, a, a, b, tail), F.replace(F.replace(F.replace(word, F.lit("ä"), F.lit("ae")), F.lit("ö"), F.lit("oe")), F.lit("ü"), F.lit("ue")), F.upper(word)]
+    kinds = [F.concat(head, b, a, tail), F.concat(head, b, tail), F.concat(head, a, a, b, tail), _plain(word), F.upper(word)]
     return F.when(n < 4, word).otherwise(F.element_at(F.array(*kinds), (F.pmod(F.xxhash64(*key), F.lit(len(kinds))) + 1).cast("int")))
 
 
@@ -77,6 +84,15 @@ def weighted(names: DataFrame, key: str, name_col: str, weight_col: str) -> Data
     return names.where(F.col(name_col).isNotNull()).groupBy(key, name_col).agg(F.sum(damp).alias("_w")).withColumn("upto", F.sum("_w").over(w)).drop("_w")
 
 
+def draw_weighted(rows: DataFrame, key: Column, ranges: DataFrame, group_col: str, name_col: str, into: str) -> DataFrame:
+    """The rows with a name of their group (a column of both tables), drawn by weight from a hash of the key; ranges are those
+    of weighted(). A group's names are one row of the list, so groups of a bounded size are asked for."""
+    lists = ranges.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("upto", name_col))).alias("_l"))
+    place = F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("bigint"), F.element_at("_l", -1)["upto"])
+    drawn = rows.join(lists, group_col).withColumn("_p", place)
+    return drawn.withColumn(into, F.element_at(F.filter("_l", lambda x: x["upto"] > F.col("_p")), 1)[name_col]).drop("_l", "_p")
+
+
 def spellings(probe: Column, letters: str) -> Column:
     """Probes for character sets: the text with its second letter swapped for each of the given ones."""
     return F.transform(F.split(F.lit(letters), ""), lambda c: F.concat(F.substring(probe, 1, 1), c, F.substring(probe, F.lit(3), F.length(probe))))

@@ -1,4 +1,4 @@
-"""Numbered placeholders, propagation of names through a document, dictionary, and exact restoration."""
+"""Numbered placeholders, following of names through a document, dictionary, and exact restoration."""
 
 from __future__ import annotations
 
@@ -10,90 +10,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.contract import ACTIONS, IN_PARTS, PROPAGATED
+from ..functions.contract import ACTIONS, PROPAGATED
 from ..functions.text import bind, part
-from .recognise import NONE, in_order
-from .spans import lookup, resolve
+from . import kernel
+from .recognise import NONE, RULES, Recogniser, Rule, in_order, lists_array, spans_array, spans_of
 
 #: A placeholder: tag or user-defined name, number, letter of a variant.
 PLACEHOLDER = r"\[[A-Za-z][A-Za-z0-9_]*_[0-9]+[a-z]*\]"
-LEAST_PART = 3
+ENTRY = "struct<tag:string,value:string,placeholder:string,start:int,end:int>"
+MASKED = f"struct<spans:{NONE},entries:array<{ENTRY}>,masked:string>"
+RESULT = f"struct<spans:{NONE},entries:array<{ENTRY}>,masked:string,dropped:array<struct<tag:string,value:string,reason:string>>,widened:int>"
 
 
-def propagate(df: DataFrame, text_col: str, spans_col: str, tags: tuple[str, ...] = PROPAGATED) -> DataFrame:
-    """The table with the spans and every other place where their values stand as whole words: first whole values, then
-    the parts of names and organisations, in the order of the seeds; only free places are taken.
+def names_for(excluded: tuple[str, ...] = (), rules: dict[str, Rule] | None = None, labels: dict[str, str] | None = None) -> kernel.Names:
+    """Actions, labels and stages of the contract and of the user's rules; excluded tags stay readable, even those of
+    rules. Labels of rules must not meet each other or a tag: one placeholder would stand for two values."""
+    names = kernel.Names(labels=dict(labels or {}))
+    for rule in (rules or {}).values():
+        names.actions[rule.tag], names.stages[rule.tag] = "mask", 2
+        names.labels[rule.tag] = rule.label or rule.tag
+    for tag in excluded:
+        names.actions[tag] = "tag_only"
+    return names
 
-    Runs over Arrow batches, as what is searched differs from row to row; other columns pass through untouched.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index(spans_col))
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            new = [_propagated(t, s or [], tags) for t, s in zip(texts, own.to_pylist())]
-            yield batch.set_column(batch.schema.get_field_index(spans_col), batch.schema.field(spans_col), pa.array(new, type=own.type))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _propagated(text: str | None, spans: list[dict], tags: tuple[str, ...]) -> list[dict]:
-    if not text:
-        return []
-    taken = [(s["start"], s["end"]) for s in spans]
-    out = [dict(s) for s in spans]
-    places: dict[str, list[tuple[int, int]]] = {}
-
-    def take(needle: str, tag: str, value: str) -> None:
-        if needle not in places:
-            words = [re.escape(w) for w in needle.split()]
-            places[needle] = [m.span() for m in re.finditer(rf"(?<!\w){r'\s+'.join(words)}(?!\w)", text)] if words else []
-        for a, b in places[needle]:
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                out.append({"tag": tag, "start": a, "end": b, "canonical": value, "source": "propagation"})
-
-    seeds = [(s["tag"], text[s["start"] : s["end"]]) for s in spans if s["tag"] in tags]
-    for tag, value in seeds:
-        take(value, tag, value)
-    for tag, value in seeds:
-        parts = [p for p in re.split(r"[\s\-]+", value) if len(p) >= LEAST_PART]
-        if tag in IN_PARTS and len(parts) > 1:
-            for p in parts:
-                if p[0].isupper():
-                    take(p, tag, value)
-    return sorted(out, key=lambda s: s["start"])
+def _entries(rows: list[list[kernel.Entry]]) -> pa.Array:
+    return lists_array(rows, ["tag", "value", "placeholder", "start", "end"], [pa.string()] * 3 + [pa.int32()] * 2)
 
 
-ENTRY = "struct<tag:string,value:string,placeholder:string,start:int,end:int>"
+def propagate(text: Column, spans: Column, tags: tuple[str, ...] = PROPAGATED) -> Column:
+    """The spans and every other free place where their values stand as whole words, by start."""
 
+    @F.arrow_udf(NONE)
+    def found(texts: pa.Array, own: pa.Array) -> pa.Array:
+        return spans_array([kernel.follow(t or "", s, tags) for t, s in zip(texts.to_pylist(), spans_of(own))])
 
-def numbered(text: Column, spans: Column, excluded: tuple[str, ...] = (), labels: dict[str, str] | None = None, extra: tuple[str, ...] = ()) -> Column:
-    """array<struct<tag, value, placeholder, start, end>> of the spans to be replaced, in their order.
+    return found(text, spans)
 
-    Values of one canonical form share a number, given per tag in order of first appearance; the canonical form has the
-    bare number, its variants letters in order of appearance.
-    """
-    masked = [t for t, action in ACTIONS.items() if action == "mask" and t not in excluded] + list(extra)
-    valued = F.transform(F.filter(in_order(spans), lambda s: s["tag"].isin(masked)), lambda s: F.struct(s["tag"].alias("tag"), part(text, s["start"], s["end"]).alias("value"), F.coalesce(s["canonical"], part(text, s["start"], s["end"])).alias("canonical"), s["start"].alias("start"), s["end"].alias("end")))
 
-    def number(vs: Column) -> Column:
-        groups = F.array_distinct(F.transform(vs, lambda v: F.struct(v["tag"].alias("tag"), v["canonical"].alias("canonical"))))
+def masking(text: Column, spans: Column, names: kernel.Names | None = None, follow: bool = True) -> Column:
+    """struct<spans, entries, masked>: resolved and followed spans, what is replaced by what, and the text with it. A
+    null text has no entries and stays null."""
+    own = names or kernel.Names()
+
+    @F.arrow_udf(MASKED)
+    def done(texts: pa.Array, given: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        rows = [kernel.masked(t or "", s if t else [], own, follow) for t, s in zip(texts, spans_of(given))]
+        return pa.StructArray.from_arrays([spans_array([r[0] for r in rows]), _entries([r[1] for r in rows]), pa.array([None if t is None else r[2] for t, r in zip(texts, rows)], pa.string())], names=["spans", "entries", "masked"])
+
+    return done(text, spans)
 
-        def named(v: Column) -> Column:
-            own = F.filter(groups, lambda g: g["tag"] == v["tag"])
-            place = F.array_position(F.transform(own, lambda g: g["canonical"]), v["canonical"])
-            values = F.array_distinct(F.transform(F.filter(vs, lambda x: (x["tag"] == v["tag"]) & (x["canonical"] == v["canonical"])), lambda x: x["value"]))
-            others = F.array_remove(values, v["canonical"])
-            ordered = F.when(F.array_contains(values, v["canonical"]), F.concat(F.array(v["canonical"]), others)).otherwise(values)
-            k = F.array_position(ordered, v["value"])
-            suffix = F.when(k > 1, F.char(F.lit(95) + k)).otherwise("")
-            label = lookup(labels, v["tag"], None) if labels else F.lit(None)
-            return F.struct(v["tag"].alias("tag"), v["value"].alias("value"), F.concat(F.lit("["), F.coalesce(label.cast("string"), v["tag"]), F.lit("_"), place.cast("string"), suffix, F.lit("]")).alias("placeholder"), v["start"].alias("start"), v["end"].alias("end"))
 
-        return F.transform(vs, named)
+def numbered(text: Column, spans: Column, excluded: tuple[str, ...] = (), labels: dict[str, str] | None = None, rules: dict[str, Rule] | None = None) -> Column:
+    """array<struct<tag, value, placeholder, start, end>> of the spans to be replaced, in their order; spans are taken as
+    they are."""
+    own = names_for(excluded, rules, labels)
 
-    return bind(valued, number)
+    @F.arrow_udf(f"array<{ENTRY}>")
+    def done(texts: pa.Array, given: pa.Array) -> pa.Array:
+        return _entries([kernel.numbered(t or "", s if t else [], own) for t, s in zip(texts.to_pylist(), spans_of(given))])
+
+    return done(text, spans)
 
 
 def replaced(text: Column, entries: Column) -> Column:
@@ -107,18 +85,53 @@ def dictionary(entries: Column) -> Column:
     return F.map_from_entries(F.array_distinct(F.transform(entries, lambda e: F.struct(e["placeholder"], e["value"]))))
 
 
-def mask_table(df: DataFrame, text_col: str, spans_col: str, excluded: tuple[str, ...] = (), keep_dictionary: bool = True, follow: bool = True) -> DataFrame:
-    """The table with masked, dictionary and masked_spans. Null texts stay null; their dictionary is empty.
+def _shown(df: DataFrame, keep_dictionary: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    words = dictionary(F.col("_r.entries")) if keep_dictionary else F.create_map().cast("map<string,string>")
+    out = df.withColumn("masked", F.col("_r.masked")).withColumn("dictionary", words).withColumn("masked_spans", F.col("_r.spans"))
+    for name in more:
+        out = out.withColumn(name, F.col(f"_r.{name}"))
+    return out.drop("_r")
+
+
+def mask_table(df: DataFrame, text_col: str, spans_col: str, excluded: tuple[str, ...] = (), keep_dictionary: bool = True, follow: bool = True, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """The table with masked, dictionary and masked_spans, in one pass over its texts. Null texts stay null; their
+    dictionary is empty. Spans of the user's rules (tags X_...) are replaced under the rules' placeholders."""
+    spans = F.coalesce(F.col(spans_col).cast(NONE), F.array().cast(NONE))
+    return _shown(df.withColumn("_r", masking(F.col(text_col), spans, names_for(excluded, rules), follow)), keep_dictionary)
+
+
+def filter_texts(
+    df: DataFrame, text_col: str, scored_col: str | None = None, rules: dict[str, Rule] | None = None, thresholds: dict[str, float] | None = None,
+    excluded: tuple[str, ...] = (), keep_dictionary: bool = True, follow: bool = True,
+) -> DataFrame:
+    """The whole chain in one pass over the texts: recognise, apply the user's rules, merge with the scored spans of a
+    model, mask.
 
-    Each stage is a projection of its own, so that nothing is computed twice.
+    scored_col, if any, holds array<struct<tag, start, end, score>>. The table comes back with masked, dictionary,
+    masked_spans, dropped (scored spans that were left out, with the reason) and widened. Null texts stay null.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("masked_spans", resolve(F.coalesce(F.col(spans_col), F.array().cast(NONE))))
-    if follow:
-        out = propagate(out, text_col, "masked_spans").withColumn("masked_spans", resolve(F.col("masked_spans")))
-    out = out.withColumn("_entries", numbered(text, F.col("masked_spans"), excluded))
-    empty = F.create_map().cast("map<string,string>")
-    return out.withColumn("masked", F.when(F.col(text_col).isNotNull(), replaced(text, F.col("_entries")))).withColumn("dictionary", dictionary(F.col("_entries")) if keep_dictionary else empty).drop("_entries")
+    own, names = rules or {}, names_for(excluded, rules)
+    made: list[tuple[Recogniser, Recogniser | None]] = []
+
+    @F.arrow_udf(RESULT)
+    def done(texts: pa.Array, scored: pa.Array) -> pa.Array:
+        if not made:
+            made.append((Recogniser(RULES), Recogniser(own, iban=False) if own else None))
+        rows, kinds = [], texts.to_pylist()
+        for text, given in zip(kinds, scored.to_pylist()):
+            text = text or ""
+            found = made[0][0](text) + (made[0][1](text) if made[0][1] else [])
+            model = [(s["tag"], s["start"], s["end"], s["score"]) for s in given or () if s is not None and 0 <= s["start"] < s["end"] <= len(text)]
+            spans, dropped, widened = kernel.merge(text, model, found, thresholds)
+            rows.append((*kernel.masked(text, spans, names, follow), dropped, widened))
+        return pa.StructArray.from_arrays([
+            spans_array([r[0] for r in rows]), _entries([r[1] for r in rows]), pa.array([None if t is None else r[2] for t, r in zip(kinds, rows)], pa.string()),
+            lists_array([r[3] for r in rows], ["tag", "value", "reason"], [pa.string()] * 3), pa.array([r[4] for r in rows], pa.int32()),
+        ], names=["spans", "entries", "masked", "dropped", "widened"])
+
+    kind = "array<struct<tag:string,start:int,end:int,score:double>>"
+    scored = F.col(scored_col).cast(kind) if scored_col else F.lit(None).cast(kind)
+    return _shown(df.withColumn("_r", done(F.col(text_col), scored)), keep_dictionary, ("dropped", "widened"))
 
 
 def placeholders(text: Column) -> Column:

@@ -1,17 +1,14 @@
-"""Span algebra on arrays of spans: greedy overlap exclusion, coalescing, thresholds, widening, merging of sources."""
+"""Span algebra on arrays of spans: overlap exclusion, coalescing, thresholds, widening, merging of sources."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checksums import VALIDATORS
-from ..functions.contract import STAGES, THRESHOLDS
-from ..functions.text import bind, part
-from .recognise import NONE, in_order, span
-
-#: Sources by rank where stage and length agree.
-RANKS = {"regex": 0, "benutzer": 0, "model": 1}
+from ..functions.text import part
+from . import kernel
+from .recognise import NONE, lists_array, spans_array, spans_of
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -20,19 +17,15 @@ def lookup(table: dict, key: Column, default) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), key), F.lit(default))
 
 
-def greedy(spans: Column) -> Column:
-    """First come, first kept: a span stays if it overlaps none that is kept already. Touching is no overlap."""
-    return F.aggregate(spans, F.array().cast(NONE), lambda kept, s: F.when(F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(s))))
-
-
-def _ranked(spans: Column, first: Column, rank: bool) -> Column:
-    keyed = F.transform(spans, lambda s, i: F.struct(first(s).alias("a"), (s["start"] - s["end"]).alias("b"), (lookup(RANKS, s["source"], 1) if rank else F.lit(0)).alias("c"), i.alias("i"), s.alias("s")))
-    return F.transform(F.array_sort(keyed, lambda x, y: F.when(F.struct(x["a"], x["b"], x["c"], x["i"]) < F.struct(y["a"], y["b"], y["c"], y["i"]), -1).otherwise(1)), lambda k: k["s"])
+def resolve(spans: Column) -> Column:
+    """Non-overlapping spans, lower stage first, then longest, then in the given order; unknown tags come last, and empty
+    spans are left out."""
 
+    @F.arrow_udf(NONE)
+    def done(own: pa.Array) -> pa.Array:
+        return spans_array([kernel.resolve(s) for s in spans_of(own)])
 
-def resolve(spans: Column) -> Column:
-    """Non-overlapping spans, lower stage first, then longest, then in the given order; unknown tags come last."""
-    return in_order(greedy(_ranked(spans, lambda s: lookup(STAGES, s["tag"], 9), False)))
+    return done(spans)
 
 
 def coalesce(intervals: Column, touching: bool = True) -> Column:
@@ -79,31 +72,15 @@ def widen(text: Column, start: Column, end: Column, most: int = 50) -> Column:
 
 
 def merge(text: Column, scored: Column, found: Column, thresholds: dict[str, float] | None = None) -> Column:
-    """struct<spans, dropped, widened> from model spans (tag, start, end, score) and recognised spans.
-
-    Model spans below the tag's threshold are dropped with a reason, the others widened to words; those of a tag with
-    check digits are dropped where the digits are wrong. What is left is kept greedily: tags with check digits first,
-    then longest, then recognised before model. Equal places fall to the earlier in this order.
-    """
-    limits = THRESHOLDS if thresholds is None else thresholds
-    reason = "struct<tag:string,value:string,reason:string>"
-    low = lambda s: lookup(limits, s["tag"], -1.0) > s["score"]
-    below = F.transform(F.filter(scored, low), lambda s: F.struct(s["tag"].alias("tag"), part(text, s["start"], s["end"]).alias("value"), F.format_string("unter Schwelle %.2f (%.2f)", lookup(limits, s["tag"], -1.0), s["score"]).alias("reason")))
-    kept = F.transform(F.filter(scored, lambda s: ~low(s)), lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("a"), s["end"].alias("b"), widen(text, s["start"], s["end"]).alias("w")))
-
-    def judge(x: Column) -> Column:
-        value = part(text, x["w"]["start"], x["w"]["end"])
-        ok = F.lit(True)
-        for tag, valid in VALIDATORS.items():
-            ok = F.when(x["tag"] == tag, valid(value)).otherwise(ok)
-        return F.struct(x["tag"].alias("tag"), x["w"]["start"].alias("start"), x["w"]["end"].alias("end"), value.alias("value"), ok.alias("ok"), ((x["w"]["start"] != x["a"]) | (x["w"]["end"] != x["b"])).cast("int").alias("moved"))
-
-    def joined(judged: Column) -> Column:
-        bad = F.transform(F.filter(judged, lambda j: ~j["ok"]), lambda j: F.struct(j["tag"].alias("tag"), j["value"].alias("value"), F.lit("Pruefsumme ungueltig").alias("reason")))
-        good = F.transform(F.filter(judged, lambda j: j["ok"]), lambda j: span(j["tag"], j["start"], j["end"], F.lit("model")))
-        stage1 = [t for t, s in STAGES.items() if s == 1]
-        everything = F.concat(F.filter(found, lambda s: s["tag"].isin(stage1)), F.filter(found, lambda s: ~s["tag"].isin(stage1)), good)
-        best = greedy(_ranked(everything, lambda s: F.when(s["tag"].isin(stage1), 1).otherwise(2), True))
-        return F.struct(in_order(best).alias("spans"), F.concat(below, bad).cast(f"array<{reason}>").alias("dropped"), F.aggregate(judged, F.lit(0), lambda a, j: a + j["moved"]).alias("widened"))
-
-    return bind(F.transform(kept, judge), joined)
+    """struct<spans, dropped, widened> from model spans (tag, start, end, score) and recognised spans; the rules are those
+    of kernel.merge."""
+    kind = f"struct<spans:{NONE},dropped:array<struct<tag:string,value:string,reason:string>>,widened:int>"
+
+    @F.arrow_udf(kind)
+    def done(texts: pa.Array, given: pa.Array, own: pa.Array) -> pa.Array:
+        rows = []
+        for t, sc, s in zip(texts.to_pylist(), given.to_pylist(), spans_of(own)):
+            rows.append(kernel.merge(t or "", [(x["tag"], x["start"], x["end"], x["score"]) for x in sc or () if x is not None], s, thresholds))
+        return pa.StructArray.from_arrays([spans_array([r[0] for r in rows]), lists_array([r[1] for r in rows], ["tag", "value", "reason"], [pa.string()] * 3), pa.array([r[2] for r in rows], pa.int32())], names=["spans", "dropped", "widened"])
+
+    return done(text, scored, found)

@@ -2,53 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, text
 from ..functions.contract import ACTIONS, STAGES, THRESHOLDS, label_hash, severity, tag_table
-from ..operators import evaluate, generate, labels, mask, rules, spans, suspicion
+from ..operators import evaluate, generate, labels, mask, rules, spans, suspicion, synthesis
 from ..operators.recognise import RULES, recognised
 from ..streaming.stream import details_per_window
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
-def rows_of(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode(column).alias("s")).select(*keys, F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.value").alias("value"))
-
-
-def matches_sql(pattern: str) -> str:
-    """Places of a pattern's matches in documents, from the matches and the pieces between them."""
-    p = pattern.replace("'", "''")
-    return f"""
-    WITH m AS (SELECT doc_id, regexp_extract_all(text, '{p}') v, regexp_split_to_array(text, '{p}') g FROM documents WHERE text IS NOT NULL),
-         u AS (SELECT doc_id, v, g, unnest(range(1, len(v) + 1)) k FROM m)
-    SELECT doc_id, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:k-1], lambda x: length(x))), 0) AS INT) AS start_pos,
-           CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(v[1:k], lambda x: length(x))) AS INT) AS end_pos, v[k] AS value FROM u"""
+from .base import ORACLES, QUERIES, matches_sql, query, rows_of, spread, table
 
 
 @query(matches_sql(RULES["EMAIL"].pattern))
@@ -63,10 +25,14 @@ def case_number_places(spark: SparkSession, d: str) -> DataFrame:
     return rows_of(docs.select("doc_id", text.matches(F.col("text"), RULES["CASE_ID"].pattern).alias("s")), "s", "doc_id")
 
 
-@query(matches_sql(RULES["URL"].pattern))
+_LINKED = "'Siehe https://www.example.ch/d/' || CAST(doc_id AS VARCHAR) || '?a=' || CAST(length(text) AS VARCHAR) || '. ' || text"
+
+
+@query(matches_sql(RULES["URL"].pattern, "linked", "doc_id", f"(SELECT doc_id, {_LINKED} AS linked FROM documents)"))
 def url_places(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return rows_of(docs.select("doc_id", text.matches(F.col("text"), RULES["URL"].pattern).alias("s")), "s", "doc_id")
+    linked = F.concat(F.lit("Siehe https://www.example.ch/d/"), F.col("doc_id").cast("string"), F.lit("?a="), F.length("text").cast("string"), F.lit(". "), F.col("text"))
+    return rows_of(docs.select("doc_id", text.matches(linked, RULES["URL"].pattern).alias("s")), "s", "doc_id")
 
 
 @query(f"""SELECT doc_id, start_pos, CAST(length(substr(t, 1, start_pos)) - length(replace(substr(t, 1, start_pos), chr(10), '')) + 1 AS INT) AS line,
@@ -164,10 +130,12 @@ def template_slots(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("template_id", "mark", "name").agg(F.count("*").alias("uses"))
 
 
-@query(f"""SELECT DISTINCT template_id, name FROM (SELECT template_id, regexp_replace(s, '[{{}}]', '', 'g') AS name FROM (SELECT template_id, unnest(regexp_extract_all(text, '\\{{[A-Z0-9_]+\\}}')) AS s FROM templates))
+@query(f"""SELECT DISTINCT template_id, name FROM (SELECT template_id, regexp_replace(s, '[{{}}]', '', 'g') AS name FROM (SELECT template_id, unnest(regexp_extract_all(text || ' {{' || upper(regexp_replace(lang, '[^A-Za-z]', '', 'g')) || '_NUMMER}} {{CITY}}', '\\{{[A-Z0-9_]+\\}}')) AS s FROM templates WHERE text IS NOT NULL AND lang IS NOT NULL))
     WHERE name NOT IN ({", ".join(f"'{t}'" for t in STAGES)})""")
 def unknown_slots(spark: SparkSession, d: str) -> DataFrame:
-    slots = table(spark, d, "templates").select("template_id", F.explode(F.regexp_extract_all("text", F.lit(r"\{[A-Z0-9_]+\}"), F.lit(0))).alias("s"))
+    """Slots that are no tags, in the templates with one more slot named after their language."""
+    more = F.concat(F.lit(" {"), F.upper(F.regexp_replace("lang", "[^A-Za-z]", "")), F.lit("_NUMMER} {CITY}"))
+    slots = table(spark, d, "templates").where("text is not null and lang is not null").select("template_id", F.explode(F.regexp_extract_all(F.concat("text", more), F.lit(r"\{[A-Z0-9_]+\}"), F.lit(0))).alias("s"))
     named = slots.select("template_id", F.regexp_replace("s", "[{}]", "").alias("name")).distinct()
     return named.join(F.broadcast(tag_table(spark).select(F.col("tag").alias("name"))), "name", "left_anti").select("template_id", "name")
 
@@ -179,21 +147,44 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 _GOLD = """gold AS (SELECT m.doc_id, s.tag AS tag, s.start_pos AS start_pos, s.end_pos AS end_pos, s.quelle AS quelle, substr(d.text, s.start_pos + 1, s.end_pos - s.start_pos) AS value
     FROM (SELECT doc_id, unnest(spans) AS s FROM mask_results) m JOIN documents d USING (doc_id) WHERE s.start_pos < s.end_pos)"""
-# Predictions to evaluate: those of the model one sign short, those of the rules as they are, propagated ones missing.
-_PRED = "pred AS (SELECT doc_id, tag, start_pos, CASE WHEN quelle = 'model' THEN end_pos - 1 ELSE end_pos END AS end_pos FROM gold WHERE quelle <> 'propagation')"
+# Predictions to evaluate: those of the model one sign short, those of the rules as they are, propagated ones missing, names
+# of every third document under a tag that stays readable, and a place that is no detail.
+_PRED = """pred AS (SELECT doc_id, CASE WHEN tag = 'FULLNAME' AND doc_id % 3 = 0 THEN 'CANTON' ELSE tag END AS tag, start_pos, CASE WHEN quelle = 'model' THEN end_pos - 1 ELSE end_pos END AS end_pos FROM gold WHERE quelle <> 'propagation'
+    UNION ALL SELECT doc_id, 'CITY', CAST(0 AS INT), CAST(1 AS INT) FROM (SELECT DISTINCT doc_id FROM gold WHERE doc_id % 4 = 0))"""
+_SPACE = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_MASKS = ", ".join(f"'{t}'" for t, action in ACTIONS.items() if action == "mask")
+_WEIGHT = "CASE g.tag " + " ".join(f"WHEN '{t}' THEN {severity(t) if ACTIONS[t] == 'mask' else 0.0}" for t in STAGES) + " ELSE 0.0 END"
+# Gold with its match: copies of a place are numbered on both sides; a prediction of the model is one sign short.
+_MATCHED = f"""{_GOLD}, {_PRED}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos, end_pos) AS k FROM gold), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos, end_pos) AS k FROM pred),
+    ex AS (SELECT doc_id, tag, start_pos, end_pos, k FROM g JOIN p USING (doc_id, tag, start_pos, end_pos, k)),
+    gr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos ORDER BY end_pos, k) AS r FROM g ANTI JOIN ex USING (doc_id, tag, start_pos, end_pos, k)),
+    pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos ORDER BY end_pos, k) AS r FROM p ANTI JOIN ex USING (doc_id, tag, start_pos, end_pos, k)),
+    pa AS (SELECT gr.doc_id, gr.tag, gr.start_pos, gr.end_pos, gr.k, pr.end_pos AS p_end, pr.k AS p_k FROM gr JOIN pr ON gr.doc_id = pr.doc_id AND gr.tag = pr.tag AND gr.start_pos = pr.start_pos AND gr.r = pr.r AND pr.end_pos > gr.start_pos),
+    signs AS (SELECT doc_id, tag, start_pos, end_pos, k, value, unnest(range(0, length(value))) AS i FROM g WHERE tag IN ({_MASKS})),
+    seen AS (SELECT * FROM signs WHERE NOT regexp_matches(substr(value, CAST(i AS BIGINT) + 1, 1), '{_SPACE}')),
+    bare AS (SELECT s.*, EXISTS (SELECT 1 FROM pred p WHERE p.tag IN ({_MASKS}) AND p.doc_id = s.doc_id AND p.start_pos <= s.start_pos + s.i AND s.start_pos + s.i < p.end_pos) AS covered FROM seen s),
+    lk AS (SELECT doc_id, tag, start_pos, end_pos, k, count(*) AS significant, count(*) FILTER (NOT covered) AS open_chars FROM bare GROUP BY ALL),
+    gold_rows AS (SELECT g.*, coalesce(lk.open_chars, 0) AS open_chars, coalesce(lk.significant, 0) AS significant, {_WEIGHT} AS weight, {_WEIGHT} * coalesce(lk.open_chars, 0) / greatest(1, coalesce(lk.significant, 0)) AS leak_weight,
+        CASE WHEN ex.k IS NOT NULL THEN 'exact' WHEN pa.k IS NOT NULL THEN 'partial' ELSE 'missed' END AS verdict
+        FROM g LEFT JOIN lk USING (doc_id, tag, start_pos, end_pos, k) LEFT JOIN ex USING (doc_id, tag, start_pos, end_pos, k) LEFT JOIN pa USING (doc_id, tag, start_pos, end_pos, k)),
+    pred_rows AS (SELECT p.*, ex.k IS NOT NULL OR pa.p_k IS NOT NULL AS used FROM p LEFT JOIN ex USING (doc_id, tag, start_pos, end_pos, k) LEFT JOIN pa ON p.doc_id = pa.doc_id AND p.tag = pa.tag AND p.start_pos = pa.start_pos AND p.end_pos = pa.p_end AND p.k = pa.p_k),
+    tags AS (SELECT tag, count(*) AS gold, CAST(0 AS BIGINT) AS pred, count(*) FILTER (verdict = 'exact') AS exact, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'missed') AS missed, count(*) FILTER (open_chars > 0) AS leaked, sum(leak_weight) AS leak_weight, sum(weight) AS weight FROM gold_rows GROUP BY 1
+        UNION ALL SELECT tag, 0, count(*), 0, 0, 0, 0, 0, 0 FROM pred_rows GROUP BY 1),
+    counted AS (SELECT tag, sum(gold) AS gold, sum(pred) AS pred, sum(exact) AS exact, sum(partial) AS partial, sum(missed) AS missed, sum(leaked) AS leaked, sum(leak_weight) AS leak_weight, sum(weight) AS weight FROM tags GROUP BY 1)"""
 
 
 def _pred(gold: DataFrame) -> DataFrame:
-    return gold.where("quelle <> 'propagation'").select("doc_id", "tag", "start_pos", F.when(F.col("quelle") == "model", F.col("end_pos") - 1).otherwise(F.col("end_pos")).alias("end_pos"))
+    readable = (F.col("tag") == "FULLNAME") & (F.col("doc_id") % 3 == 0)
+    own = gold.where("quelle <> 'propagation'").select("doc_id", F.when(readable, "CANTON").otherwise(F.col("tag")).alias("tag"), "start_pos", F.when(F.col("quelle") == "model", F.col("end_pos") - 1).otherwise(F.col("end_pos")).alias("end_pos"))
+    return own.unionByName(gold.where("doc_id % 4 = 0").select("doc_id").distinct().select("doc_id", F.lit("CITY").alias("tag"), F.lit(0).alias("start_pos"), F.lit(1).alias("end_pos")))
 
 
-@query(f"""WITH {_GOLD}, {_PRED}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos, end_pos) k FROM gold), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag, start_pos, end_pos) k FROM pred),
-    c AS (SELECT tag, 1 AS g, 0 AS p, 0 AS e FROM gold UNION ALL SELECT tag, 0, 1, 0 FROM pred UNION ALL SELECT g.tag, 0, 0, 1 FROM g JOIN p USING (doc_id, tag, start_pos, end_pos, k)), s AS (SELECT tag, sum(g) AS g, sum(p) AS p, sum(e) AS e FROM c GROUP BY 1)
-    SELECT tag, CAST(g AS BIGINT) AS gold, CAST(p AS BIGINT) AS pred, CAST(e AS BIGINT) AS exact, round(coalesce(e / nullif(p, 0), 0), 9) AS "precision", round(coalesce(e / nullif(g, 0), 0), 9) AS recall FROM s""")
+@query(f"""WITH {_MATCHED} SELECT tag, CAST(gold AS BIGINT) AS gold, CAST(pred AS BIGINT) AS pred, CAST(exact AS BIGINT) AS exact, CAST(partial AS BIGINT) AS partial, CAST(missed AS BIGINT) AS missed, round(coalesce(exact / nullif(pred, 0), 0), 9) AS "precision", round(coalesce(exact / nullif(gold, 0), 0), 9) AS recall,
+    round(coalesce(2 * (exact / nullif(pred, 0)) * (exact / nullif(gold, 0)) / nullif(exact / nullif(pred, 0) + exact / nullif(gold, 0), 0), 0), 9) AS f1 FROM counted""")
 def tag_scores(spark: SparkSession, d: str) -> DataFrame:
     gold = _gold(spark, d)
     out = evaluate.per_tag(gold, _pred(gold))
-    return out.select("tag", "gold", "pred", "exact", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+    return out.select("tag", "gold", "pred", "exact", "partial", "missed", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(f"""WITH {_GOLD}, {_PRED} SELECT g.tag, count(*) AS met FROM (SELECT DISTINCT doc_id, tag, start_pos, end_pos FROM gold) g
@@ -203,19 +194,43 @@ def tag_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.overlapping(gold, _pred(gold)).groupBy("tag").agg(F.count("*").alias("met"))
 
 
-_WEIGHT = "CASE g.tag " + " ".join(f"WHEN '{t}' THEN {severity(t) if ACTIONS[t] == 'mask' else 0.0}" for t in STAGES) + " ELSE 0.2 END"
-
-
-@query(f"""WITH {_GOLD}, {_PRED}, g AS (SELECT DISTINCT doc_id, tag, start_pos, end_pos, value FROM gold), c AS (SELECT g.*, unnest(range(0, length(value))) AS i FROM g),
-    s AS (SELECT doc_id, tag, start_pos, end_pos, value, i FROM c WHERE regexp_matches(substr(value, CAST(i AS BIGINT) + 1, 1), '[\\pL\\pN]')),
-    o AS (SELECT s.*, EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = s.doc_id AND p.start_pos <= s.start_pos + s.i AND s.start_pos + s.i < p.end_pos) AS covered FROM s),
-    r AS (SELECT doc_id, tag, start_pos, end_pos, count(*) AS significant, count(*) FILTER (NOT covered) AS open_chars FROM o GROUP BY 1, 2, 3, 4)
-    SELECT g.tag, count(*) AS spans, CAST(sum(coalesce(open_chars, 0)) AS BIGINT) AS open_chars, round(sum({_WEIGHT} * coalesce(open_chars, 0) / greatest(1, coalesce(significant, 0))), 6) AS leak_weight, round(sum({_WEIGHT}), 6) AS weight
-    FROM g LEFT JOIN r USING (doc_id, tag, start_pos, end_pos) GROUP BY 1""")
+@query(f"""WITH {_MATCHED} SELECT tag, count(*) AS spans, CAST(sum(significant) AS BIGINT) AS significant, CAST(sum(open_chars) AS BIGINT) AS open_chars, count(*) FILTER (open_chars > 0) AS leaked, round(sum(leak_weight), 6) AS leak_weight, round(sum(weight), 6) AS weight FROM gold_rows GROUP BY 1""")
 def tag_leaks(spark: SparkSession, d: str) -> DataFrame:
     gold = _gold(spark, d)
     out = evaluate.leaks(gold, _pred(gold)).groupBy("tag")
-    return out.agg(F.count("*").alias("spans"), F.sum("open_chars").cast("bigint").alias("open_chars"), F.round(F.sum("leak_weight"), 6).alias("leak_weight"), F.round(F.sum("weight"), 6).alias("weight"))
+    return out.agg(F.count("*").alias("spans"), F.sum("significant").cast("bigint").alias("significant"), F.sum("open_chars").cast("bigint").alias("open_chars"), F.count_if(F.col("open_chars") > 0).alias("leaked"), F.round(F.sum("leak_weight"), 6).alias("leak_weight"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query(f"""WITH {_MATCHED} SELECT CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(pred) AS BIGINT) AS pred, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(leaked) AS BIGINT) AS leaked, (SELECT count(*) FROM pred_rows WHERE NOT used) AS over,
+    round(sum(leak_weight) / sum(weight), 9) AS leak_rate, round(2 * (sum(exact) / sum(pred)) * (sum(exact) / sum(gold)) / (sum(exact) / sum(pred) + sum(exact) / sum(gold)), 9) AS micro_f1 FROM counted""")
+def evaluation_totals(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold(spark, d)
+    return evaluate.totals(gold, _pred(gold)).select("gold", "pred", "exact", "leaked", "over", F.round("leak_rate", 9).alias("leak_rate"), F.round("micro_f1", 9).alias("micro_f1"))
+
+
+@query(f"""WITH {_MATCHED} SELECT doc_id, tag, start_pos, end_pos, count(*) AS n FROM pred_rows WHERE NOT used GROUP BY ALL""")
+def over_masking(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold(spark, d)
+    return evaluate.over(gold, _pred(gold)).groupBy("doc_id", "tag", "start_pos", "end_pos").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_MATCHED} SELECT rank, tag, leaked, missed FROM (SELECT tag, CAST(leaked AS BIGINT) AS leaked, CAST(missed AS BIGINT) AS missed, row_number() OVER (ORDER BY leaked DESC, missed DESC, tag) AS rank FROM counted) WHERE rank <= 5""")
+def worst_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The top of the report: a limit is its feature."""
+    gold = _gold(spark, d)
+    top = evaluate.report(gold, _pred(gold)).limit(5).select("tag", "leaked", "missed")
+    from pyspark.sql import Window
+
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("leaked"), F.desc("missed"), "tag")).cast("bigint"))
+
+
+@query(f"""WITH {_GOLD}, {_PRED}, w AS (SELECT DISTINCT doc_id, tag, start_pos, end_pos FROM gold),
+    j AS (SELECT w.*, bool_or(p.tag = w.tag AND p.start_pos <= w.start_pos AND p.end_pos >= w.end_pos) AS r, bool_or(p.start_pos < w.end_pos AND w.start_pos < p.end_pos) AS t, string_agg(DISTINCT CASE WHEN p.start_pos < w.end_pos AND w.start_pos < p.end_pos THEN p.tag END, ', ' ORDER BY CASE WHEN p.start_pos < w.end_pos AND w.start_pos < p.end_pos THEN p.tag END) AS instead
+    FROM w LEFT JOIN pred p ON p.doc_id = w.doc_id GROUP BY w.doc_id, w.tag, w.start_pos, w.end_pos)
+    SELECT tag, CASE WHEN r THEN 'right' WHEN t THEN 'label' ELSE 'leak' END AS verdict, CASE WHEN NOT coalesce(r, false) AND t THEN instead END AS instead, count(*) AS n FROM j GROUP BY ALL""")
+def containment_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold(spark, d)
+    return evaluate.containment(gold, _pred(gold)).groupBy("tag", "verdict", "instead").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_GOLD} SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(doctype) = 0 THEN 'doctype' WHEN grouping(tag) = 0 THEN 'tag' ELSE 'all' END AS grp, lang, doctype, tag, count(*) AS spans, count(DISTINCT doc_id) AS docs
@@ -261,11 +276,43 @@ def run_variance(spark: SparkSession, d: str) -> DataFrame:
     return out.select("condition", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "note")
 
 
-@query(f"""WITH {_GOLD}, v AS (SELECT doc_id, tag, value, min(start_pos) AS first_pos FROM gold GROUP BY 1, 2, 3) SELECT doc_id, tag, value, '[' || tag || '_' || CAST(row_number() OVER (PARTITION BY doc_id, tag ORDER BY first_pos) AS VARCHAR) || ']' AS placeholder FROM v WHERE tag <> 'CANTON'""")
+@query("""WITH r AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS c, o_totalprice AS v FROM orders), v AS (SELECT c, avg(v) AS mean, stddev_samp(v) AS sd, count(v) AS n FROM r GROUP BY 1)
+    SELECT a.c AS a, b.c AS b, round(b.mean - a.mean, 4) AS delta, round(greatest(a.sd, b.sd), 4) AS sd, round(abs(b.mean - a.mean) / greatest(a.sd, b.sd), 6) AS times, CASE WHEN abs(b.mean - a.mean) > 2 * greatest(a.sd, b.sd) THEN 'clear' WHEN abs(b.mean - a.mean) > greatest(a.sd, b.sd) THEN 'weak' ELSE 'unresolved' END AS verdict, least(a.n, b.n) < 3 AS few FROM v a, v b WHERE a.c < b.c""")
+def run_difference(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("condition"), F.col("o_totalprice").alias("value"))
+    out = evaluate.differences(runs, "condition", "value")
+    return out.select("a", "b", F.round("delta", 4).alias("delta"), F.round("sd", 4).alias("sd"), F.round("times", 6).alias("times"), "verdict", "few")
+
+
+@query("""WITH v AS (SELECT event_type AS c, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY 1), s AS (SELECT c_custkey AS run, c_acctbal AS value FROM customer)
+    SELECT run, c AS event_type, round((value - mean) / sd, 6) AS z FROM s, v WHERE n >= 3""")
+def single_runs(spark: SparkSession, d: str) -> DataFrame:
+    single = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.col("c_acctbal").alias("value"))
+    return evaluate.against(single, table(spark, d, "events"), "event_type", "value").select("run", "event_type", F.round("z", 6).alias("z"))
+
+
+_NOW = ", ".join(f"('{t}', {x})" for t, x in THRESHOLDS.items())
+
+
+@query(f"""WITH {_GOLD}, s AS (SELECT tag, {_SCORE} AS score, quelle = 'model' AS is_gold FROM gold), e AS (SELECT * FROM s WHERE tag IN (SELECT tag FROM s GROUP BY 1 HAVING count(*) FILTER (is_gold) >= 5)),
+    w AS (SELECT tag, CAST(level AS DOUBLE) AS level, count(*) FILTER (is_gold AND score < level) AS leaks, count(*) FILTER (NOT is_gold AND score >= level) AS over FROM e, (SELECT unnest([{", ".join(f"{x:.1f}" for x in evaluate.LEVELS)}]) AS level) GROUP BY 1, 2),
+    now AS (SELECT * FROM (VALUES {_NOW}) t(tag, lim)), n AS (SELECT w.tag, min(leaks) AS leaks, min(over) AS over FROM w JOIN now ON w.tag = now.tag AND abs(level - lim) < 1e-9 GROUP BY 1),
+    b AS (SELECT tag, min(struct_pack(leaks := leaks, over := over, level := level)) AS b, max(over) - min(over) < 3 AS flat FROM w GROUP BY 1)
+    SELECT b.tag, b.b.level AS best, b.b.leaks AS leaks, b.b.over AS over, flat, (SELECT min(level) FROM w WHERE w.tag = b.tag AND w.leaks > n.leaks) AS tips, CASE WHEN n.tag IS NOT NULL THEN NOT flat AND (b.b.leaks < n.leaks OR b.b.leaks = n.leaks AND b.b.over < n.over) END AS better FROM b LEFT JOIN n USING (tag)""")
+def best_levels(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_level(evaluate.sweep(evaluate.enough_gold(_scored(spark, d))), THRESHOLDS)
+
+
+@query(f"""WITH {_GOLD}, v AS (SELECT doc_id, tag, value, substr(value, 1, 3) AS canonical, min(start_pos) AS first_pos FROM gold WHERE tag <> 'CANTON' GROUP BY 1, 2, 3, 4), gr AS (SELECT doc_id, tag, canonical, min(first_pos) AS g_pos FROM v GROUP BY 1, 2, 3),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY g_pos) AS no FROM gr), k AS (SELECT v.*, row_number() OVER (PARTITION BY doc_id, tag, canonical ORDER BY value <> canonical, first_pos) AS k FROM v)
+    SELECT k.doc_id, k.tag, k.value, '[' || k.tag || '_' || CAST(no AS VARCHAR) || CASE WHEN k > 1 THEN chr(CAST(95 + k AS INT)) ELSE '' END || ']' AS placeholder FROM k JOIN n USING (doc_id, tag, canonical)""")
 def placeholder_numbers(spark: SparkSession, d: str) -> DataFrame:
-    masks = table(spark, d, "mask_results").select("doc_id", "spans").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    own = F.transform(F.filter("spans", lambda s: s["start_pos"] < s["end_pos"]), lambda s: F.struct(s["tag"].alias("tag"), s["start_pos"].alias("start"), s["end_pos"].alias("end"), F.lit(None).cast("string").alias("canonical"), s["quelle"].alias("source")))
-    entries = spread(masks).select("doc_id", F.explode(mask.numbered(F.col("text"), own, extra=())).alias("e"))
+    """Numbers by tag in order of appearance, letters for the variants of one canonical form (here: its first three signs)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    masks = spread(table(spark, d, "mask_results").select("doc_id", "spans")).join(docs, "doc_id")
+    value = lambda s: text.part(F.col("text"), s["start_pos"], s["end_pos"])
+    own = F.transform(F.filter("spans", lambda s: s["start_pos"] < s["end_pos"]), lambda s: F.struct(s["tag"].alias("tag"), s["start_pos"].alias("start"), s["end_pos"].alias("end"), F.substring(value(s), 1, 3).alias("canonical"), s["quelle"].alias("source")))
+    entries = masks.select("doc_id", F.explode(mask.numbered(F.col("text"), own)).alias("e"))
     return entries.select("doc_id", "e.tag", "e.value", "e.placeholder").distinct()
 
 
@@ -306,17 +353,22 @@ def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("tag").agg(F.count("*").alias("spans"), F.countDistinct("example_id").alias("examples"))
 
 
-@query("SELECT doc_id, n AS tokens, CASE WHEN n = 0 THEN 0 WHEN n <= 510 THEN 1 ELSE 1 + CAST(ceil((n - 510) / 382.0) AS INT) END AS windows FROM (SELECT doc_id, CAST(coalesce(length(text), 0) AS INT) AS n FROM documents)")
+@query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n = 0 THEN 0 WHEN n <= 60 THEN 1 ELSE 1 + CAST(ceil((n - 60) / 45.0) AS INT) END)) AS k FROM t)
+    SELECT doc_id, CAST(n AS INT) AS tokens, CAST(45 * k AS INT) AS first_token, CAST(least(45 * k + 60, n) AS INT) AS last_token FROM w""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
-    sized = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("tokens"))
-    return sized.select("doc_id", "tokens", F.size(labels.windows(F.col("tokens"))).alias("windows"))
+    """Windows of sixty tokens, fifteen of which overlap, over runs of letters and digits."""
+    own = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    sized = own.select("doc_id", F.size(text.matches(F.col("text"), "[A-Za-z0-9]+")).alias("tokens"))
+    rows = sized.select("doc_id", "tokens", F.explode(labels.windows(F.col("tokens"), 60, 45)).alias("w"))
+    return rows.select("doc_id", "tokens", F.col("w.start").alias("first_token"), F.col("w.end").alias("last_token"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\x{00A0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS plain
-    FROM (SELECT doc_id, replace(replace('<div><b>' || replace(text, '&', '+') || '</b>', chr(13), ''), '<br>', chr(10)) AS html FROM documents WHERE text IS NOT NULL)""")
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?i)</(?:p|div|tr|li|h[1-6]|table|blockquote)>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&ouml;', 'ö'), '&amp;', '&'),
+    '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS plain
+    FROM (SELECT doc_id, '<div><b>' || replace(text, '&', '&amp;') || '</b></div><SCRIPT type="x">if (a < b) {{ c() }}' || chr(10) || '</SCRIPT><p class="y">K&ouml;niz &amp;amp; Bern</p>' || chr(10) AS html FROM documents WHERE text IS NOT NULL)""")
 def html_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
-    html = F.replace(F.concat(F.lit("<div><b>"), F.replace("text", F.lit("&"), F.lit("+")), F.lit("</b>")), F.lit("\r"), F.lit(""))
+    html = F.concat(F.lit("<div><b>"), F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit('</b></div><SCRIPT type="x">if (a < b) { c() }\n</SCRIPT><p class="y">K&ouml;niz &amp;amp; Bern</p>\n'))
     return docs.select("doc_id", text.html_to_text(html).alias("plain"))
 
 
@@ -353,23 +405,93 @@ def masked_documents(spark: SparkSession, d: str) -> DataFrame:
     return mask.mask_table(docs, "text", "spans").select("doc_id", "masked", F.map_entries("dictionary").alias("dictionary"))
 
 
-@query()
+# A text in which letters stand for their kind, as SQL's patterns only know those of ASCII; every sign keeps its place.
+_UPPER, _LOWER = "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xDF)))), "".join(map(chr, (*range(0xE0, 0xF7), *range(0xF8, 0x100))))
+_BLANKS = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\u0085"
+_WIDE = "".join(map(chr, range(0xFF10, 0xFF1A)))
+_OTHER = "[ªµºß²³¹\\x{0100}-\\x{02FF}\\x{0370}-\\x{0482}\\x{048A}-\\x{058F}\\x{1E00}-\\x{1FFF}\\x{2C00}-\\x{2DFF}\\x{A640}-\\x{A7FF}\\x{FB00}-\\x{FB06}\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]"
+
+
+def kinds_sql(column: str) -> str:
+    source = _UPPER + _LOWER + _BLANKS + _WIDE
+    to = "A" * len(_UPPER) + "a" * len(_LOWER) + chr(9) * len(_BLANKS) + "0123456789"
+    return f"regexp_replace(translate({column}, '{source}', '{to}'), '{_OTHER}', '_', 'g')"
+
+
+_NETS = {"Ziffernfolge": "\\b\\d[\\d'.\\- ]{3,}\\d\\b", "Grossschreibung": "\\b[A-Z][a-z'’\\-]{2,}(?: +[A-Z][a-z'’\\-]{2,}){0,2}\\b", "Adresszeichen": "\\S+@\\S+|https?://\\S+|\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b", "Pfad": r"(?:[A-Z]:\\|/)(?:[\w.\-]+[/\\]){1,}[\w.\-]*"}
+_HITS = " UNION ALL ".join(f"SELECT *, {rank} AS rank, '{kind}' AS kind FROM ({matches_sql(p, 't', 'mask_id', 'own')})" for rank, (kind, p) in enumerate(_NETS.items()))
+
+
+@query(f"""WITH RECURSIVE own AS (SELECT mask_id, d.text AS x, {kinds_sql("d.text")} AS t, m.spans AS spans FROM mask_results m JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
+    c AS (SELECT mask_id, s.start_pos AS a, s.end_pos AS b FROM (SELECT mask_id, unnest(spans) AS s FROM own)), h AS ({_HITS}),
+    v AS (SELECT h.mask_id, start_pos, end_pos, rank, kind, substr(x, start_pos + 1, end_pos - start_pos) AS value, regexp_replace(substr(x, 1, start_pos), '{_SPACE}+$', '') AS before FROM h JOIN own USING (mask_id)),
+    f AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM (SELECT unnest(range(v.start_pos, v.end_pos)) AS i) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.mask_id = v.mask_id AND c.a <= i AND i < c.b))
+        AND NOT (kind = 'Grossschreibung' AND (split_part(value, ' ', 1) IN ({", ".join(f"'{w}'" for w in suspicion.HARMLESS)}) OR value NOT LIKE '% %' AND (before = '' OR right(before, 1) IN ('.', '!', '?', ':'))))),
+    o AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY start_pos, rank) AS n FROM f),
+    k AS (SELECT mask_id, n, end_pos FROM o WHERE n = 1 UNION ALL SELECT k.mask_id, (SELECT min(o.n) FROM o WHERE o.mask_id = k.mask_id AND o.n > k.n AND o.start_pos >= k.end_pos), (SELECT arg_min(o.end_pos, o.n) FROM o WHERE o.mask_id = k.mask_id AND o.n > k.n AND o.start_pos >= k.end_pos) FROM k WHERE k.n IS NOT NULL)
+    SELECT o.mask_id, o.kind, o.start_pos, o.end_pos, o.value FROM o JOIN k ON o.mask_id = k.mask_id AND o.n = k.n""")
 def suspicious_rest(spark: SparkSession, d: str) -> DataFrame:
-    masks = table(spark, d, "mask_results").select("doc_id", "spans").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    masks = spread(table(spark, d, "mask_results").select("mask_id", "doc_id", "spans")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     own = F.transform("spans", lambda s: F.struct(s["start_pos"].alias("start"), s["end_pos"].alias("end")))
-    found = spread(masks).select("doc_id", F.explode(suspicion.suspicious(F.col("text"), F.coalesce(own, F.array().cast("array<struct<start:int,end:int>>")))).alias("s"))
-    return found.select("doc_id", "s.kind", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), "s.value")
+    found = masks.select("mask_id", F.explode(suspicion.suspicious(F.col("text"), own)).alias("s"))
+    return found.select("mask_id", "s.kind", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), "s.value")
 
 
-@query()
+def values(spark: SparkSession, d: str, zone: str | None = None) -> synthesis.Values:
+    """Names, places and streets of the tables; street and place come from one record."""
+    names = table(spark, d, "name_weights").select(F.when(F.col("kind") == "given", "GIVENNAME").otherwise("FULLNAME").alias("tag"), F.col("name_form").alias("name"), "weight")
+    places = table(spark, d, "localities").distinct().select(F.lit("CITY").alias("tag"), F.col("locality_name").alias("name"), F.lit(1).cast("bigint").alias("weight"))
+    streets = table(spark, d, "streets").select(F.col("street_name").alias("name"), "plz", "city")
+    roads = streets.select(F.lit("STREET").alias("tag"), "name", F.lit(1).cast("bigint").alias("weight")).distinct()
+    firms = streets.select(F.lit("ORG").alias("tag"), F.concat("city", F.lit(" Treuhand AG")).alias("name"), F.lit(1).cast("bigint").alias("weight")).where("name is not null").distinct()
+    return synthesis.values_from(names.unionByName(places).unionByName(roads).unionByName(firms), streets, zone)
+
+
+@query("SELECT template_id, true AS whole, len(regexp_extract_all(text, '\\{[A-Za-z0-9_]+\\}')) AS spans, len(regexp_extract_all(text, '\\{~[A-Za-z0-9_]+\\}')) AS decoys, false AS slots_left FROM templates WHERE text IS NOT NULL")
 def filled_templates(spark: SparkSession, d: str) -> DataFrame:
-    pools = F.create_map(F.lit("FULLNAME"), F.split(F.lit("Anna Muster|Urs Beispiel|Carla Esempio"), "[|]"), F.lit("CITY"), F.split(F.lit("Obertal|Seefurt"), "[|]"))
-    rows = table(spark, d, "templates").select("template_id", "text").withColumnRenamed("text", "template").withColumn("id", F.xxhash64("template_id"))
-    return generate.inject(rows, "template", pools).select("template_id", "text", F.size("spans").alias("spans"), F.size("decoys").alias("decoys"))
+    """Every template filled from the tables: all slots have a value, and every span holds what its place in the template says."""
+    rows = table(spark, d, "templates").select("template_id", "text", "lang")
+    made = synthesis.inject_table(rows, "template_id", "text", "lang", values(spark, d))
+    kept = F.split("template", r"\{[~@]?[A-Za-z0-9_]+\}", -1)
+    places = F.array_sort(F.concat(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))), F.transform("decoys", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))))
+    starts = F.concat(F.array(F.lit(0)), F.transform(places, lambda p: p["b"]))
+    ends = F.concat(F.transform(places, lambda p: p["a"]), F.array(F.length("text")))
+    between = F.zip_with(starts, ends, lambda a, b: text.part(F.col("text"), a, b))
+    return made.select(F.col("id").alias("template_id"), (between == kept).alias("whole"), F.size("spans").cast("bigint").alias("spans"), F.size("decoys").cast("bigint").alias("decoys"), F.col("text").rlike(r"\{[~@]?[A-Za-z0-9_]+\}").alias("slots_left"))
+
+
+@query()
+def generated_examples(spark: SparkSession, d: str) -> DataFrame:
+    """As many examples as there are customers, with a tenth of the names damaged, from values outside the held-out zone."""
+    n = table(spark, d, "customer").count()
+    return synthesis.generate(spark, table(spark, d, "templates"), values(spark, d, "training"), n, seed=7, noise=0.1)
+
+
+@query("""SELECT template_id, 'unknown slot ' || regexp_extract(s, '\\{([~@]?)', 1) || regexp_replace(s, '[{}~@]', '', 'g') AS finding FROM (SELECT template_id, unnest(list_distinct(regexp_extract_all(text || ' {NOPE} {@nope}', '\\{[~@]?[A-Za-z0-9_]+\\}'))) AS s FROM templates WHERE text IS NOT NULL)
+    WHERE s IN ('{NOPE}', '{@nope}') UNION ALL SELECT template_id, 'missing AHVN13' FROM templates WHERE text IS NOT NULL AND NOT contains(text, '{AHVN13}')""")
+def template_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Templates with two unknown slots added, and without a tag that is asked for; equal slots side by side aside."""
+    rows = table(spark, d, "templates").where("text is not null").select("template_id", F.concat("text", F.lit(" {NOPE} {@nope}")).alias("text"))
+    return synthesis.check_templates(rows, ("AHVN13",)).where("finding not like 'equal%' and finding not like 'label%'")
 
 
 @query()
 def token_labels(spark: SparkSession, d: str) -> DataFrame:
     own = F.transform(F.coalesce("spans", F.array().cast("array<struct<tag:string,start_pos:int,end_pos:int>>")), lambda s: F.struct(s["tag"].alias("tag"), s["start_pos"].alias("start"), s["end_pos"].alias("end")))
-    rows = spread(table(spark, d, "examples").where("text is not null").select("example_id", "text", own.alias("own")).dropDuplicates(["example_id"])).withColumn("toks", labels.tokens(F.col("text")))
+    rows = spread(table(spark, d, "examples").where("text is not null").select("example_id", "text", own.alias("own"))).dropDuplicates(["example_id"]).withColumn("toks", labels.tokens(F.col("text")))
     return rows.withColumn("labels", labels.align(F.col("toks"), F.col("own"))).select("example_id", F.size("toks").alias("tokens"), F.array_join("labels", " ").alias("labels"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT example_id, text, spans FROM examples WHERE text IS NOT NULL AND spans IS NOT NULL), w AS ({matches_sql("[^" + _SPACE[1:-1] + "]+", "text", "example_id", "e")}),
+    s AS (SELECT example_id, unnest(spans) AS s, unnest(range(1, len(spans) + 1)) AS k FROM e),
+    f AS (SELECT w.example_id, w.start_pos, w.value, min(struct_pack(k := s.k, tag := s.s.tag, start_pos := s.s.start_pos)) AS h FROM w JOIN s ON s.example_id = w.example_id AND s.s.start_pos <= w.start_pos AND w.end_pos <= s.s.end_pos GROUP BY ALL)
+    SELECT example_id, CASE WHEN h.start_pos = start_pos THEN 'B-' ELSE 'I-' END || h.tag AS label, value AS word, count(*) AS n FROM f GROUP BY ALL""")
+def word_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Words inside spans with their label; examples that were delivered again count once."""
+    rows = spread(table(spark, d, "examples").where("text is not null and spans is not null").select("example_id", "text", "spans")).distinct()
+    own = F.transform("spans", lambda s: F.struct(s["tag"].alias("tag"), s["start_pos"].alias("start"), s["end_pos"].alias("end")))
+    words = rows.select("example_id", F.explode(labels.word_labels(F.col("text"), own)).alias("w")).select("example_id", "w.label", "w.word").where("label <> 'O'")
+    return words.groupBy("example_id", "label", "word").agg(F.count("*").alias("n"))
+
+
+from . import editing, recognition  # noqa: E402, F401  (they add their queries)

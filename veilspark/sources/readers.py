@@ -12,7 +12,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from html import unescape
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contract import label_hash
+from ..functions.text import html_text, readable_part
 
 # Extensions that are read, the signature of legacy office files, encodings in order of trial.
+REJECTED = ("doc", "dot", "xls", "ppt", "pdf", "msg")
 READABLE = ("txt", "md", "log", "text", "csv", "json", "eml", "mbox", "docx", "html", "htm", "")
 OLE2 = bytes.fromhex("d0cf11e0a1b11ae1")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
@@ -45,13 +46,6 @@ def decode(body: bytes) -> tuple[str, list[dict]]:
     return body.decode("utf-8", "replace"), [notice("kodierung", "read with replacements")]
 
 
-def html_text(html: str) -> str:
-    x = re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", html)
-    x = re.sub(r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6]|table|ul|ol|blockquote)>", "\n", x)
-    x = unescape(re.sub(r"<[^>]*>", " ", x))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\xa0]+", " ", x))).strip()
-
-
 def mail_text(message: email.message.EmailMessage) -> tuple[str, list[dict]]:
     """Headers that name people and the matter, then the first plain part, else the HTML one; attachments are named."""
     head = "\n".join(f"{h}: {message[h]}" for h in ("Date", "From", "To", "Cc", "Subject") if message[h])
@@ -62,6 +56,9 @@ def mail_text(message: email.message.EmailMessage) -> tuple[str, list[dict]]:
             body = part.get_content() if kind == "plain" else html_text(part.get_content())
             if kind == "html":
                 found.append(notice("nur_html", "HTML only"))
+            body, left = readable_part(body)
+            if left:
+                found.append(notice("binaerrest", "binary tail left out", zeichen=left))
     for part in message.iter_attachments():
         found.append(notice("anhang_uebersprungen", "attachment left out", name=part.get_filename() or "?"))
     if body is None:
@@ -75,7 +72,7 @@ def docx_text(body: bytes) -> tuple[str, list[dict]]:
         if sum(i.file_size for i in z.infolist()) > DOCX_LIMIT:
             raise ValueError("too large")
         raw = z.read("word/document.xml")
-        if b"<!DOCTYPE" in raw[:1000]:
+        if re.search(rb"<!\s*(?:DOCTYPE|ENTITY)", raw, re.I):
             raise ValueError("document type declarations are not read")
         names = z.namelist()
 
@@ -98,8 +95,8 @@ def documents_of(path: str, body: bytes) -> list[tuple]:
     stem, _, ext = name.rpartition(".") if "." in name else (name, "", "")
     ext = ext.lower()
     try:
-        if body.startswith(OLE2):
-            return [(0, name, "msg", None, [notice("nicht_gelesen", "legacy office file")])]
+        if ext in REJECTED or body.startswith(OLE2) or body.startswith(b"%PDF-"):
+            return [(0, name, ext or "msg", None, [notice("nicht_gelesen", "no reader for this format", endung=ext)])]
         if ext == "eml":
             text, found = mail_text(email.message_from_bytes(body, policy=email.policy.default))
             return [(0, name, "eml", text, found)]
@@ -124,7 +121,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.when(name.contains("."), F.lower(F.element_at(F.split(name, "[.]"), -1))).otherwise("")
-    chosen = files.where(ext.isin(*READABLE) & ~name.startswith(".")).select("path", "content")
+    chosen = files.where(ext.isin(*READABLE, *REJECTED) & ~name.startswith(".")).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -160,6 +157,36 @@ def read_gold(spark: SparkSession, path: str, unchecked: bool = False) -> DataFr
     return kept
 
 
+def skipped_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the gold documents that read_gold leaves out as unchecked."""
+    rows = spark.read.schema("id string, geprueft boolean").option("multiLine", True).json(path)
+    return rows.where(~F.coalesce("geprueft", F.lit(False))).select("id")
+
+
+def write_gold(df: DataFrame, path: str, replace: bool = False) -> None:
+    """Gold documents as JSON; an existing folder is only replaced if asked for."""
+    df.write.mode("overwrite" if replace else "errorifexists").json(path)
+
+
+def read_places_of_origin(spark: SparkSession, path: str) -> DataFrame:
+    """(name, canton, written, historical) of the placeOfOrigin elements of an XML register; names that are no longer valid
+    are kept, as they stand in old documents. No element at all is an error."""
+    schema = "placeOfOriginName string, cantonAbbreviation string, validTo string"
+    rows = spark.read.format("xml").schema(schema).option("rowTag", "placeOfOrigin").option("ignoreNamespace", True).load(path).where("placeOfOriginName <> ''")
+    if rows.isEmpty():
+        raise ValueError("no place of origin")
+    written = F.trim(F.concat_ws(" ", "placeOfOriginName", "cantonAbbreviation"))
+    return rows.select(F.col("placeOfOriginName").alias("name"), F.col("cantonAbbreviation").alias("canton"), written.alias("written"), F.col("validTo").isNotNull().alias("historical"))
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(tag, name) of lists as JSON files; the tag is that of the meta part, and names TAG|language|value give TAG@language."""
+    rows = spark.read.schema("meta struct<tag:string>, entries array<string>").option("multiLine", True).json(path)
+    own = rows.select("meta.tag", F.explode("entries").alias("name")).withColumn("p", F.split("name", "[|]", 3))
+    three = F.size("p") == 3
+    return own.select(F.when(three, F.concat(F.col("p")[0], F.lit("@"), F.col("p")[1])).otherwise(F.col("tag")).alias("tag"), F.when(three, F.col("p")[2]).otherwise(F.col("name")).alias("name"))
+
+
 def read_column(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """The first of the named columns, whatever its case, of a CSV whose separator is the most frequent of ; , and tab."""
     head = "".join(r["value"] + "\n" for r in spark.read.text(path).limit(20).collect())[:4096]
