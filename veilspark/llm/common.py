@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -55,7 +57,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
+        own = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
     return df.checkpoint(eager=True)
 
 

@@ -106,7 +106,7 @@ def _examples(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def p6_marked(spark: SparkSession, d: str) -> DataFrame:
-    return residue.mark_residue(_examples(spark, d), table(spark, d, "templates"), "example_id", "text")
+    return residue.mark_residue(_examples(spark, d), table(spark, d, "templates"), "example_id", "text", table(spark, d, "examples").select("text"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -19,7 +19,7 @@ from .common import text_sample
 
 #: Records that fit the classifier: at most so many distinct ones by hash order, of which so many others than the trusted
 #: ones take part in the rounds; templates; and characters of each sample.
-SAMPLE_ROWS, OTHER_ROWS, TEMPLATE_ROWS, SAMPLE_CHARS = 40_000, 16_000, 20_000, 60_000_000
+SAMPLE_ROWS, OTHER_ROWS, TEMPLATE_ROWS, SAMPLE_CHARS = 24_000, 16_000, 20_000, 60_000_000
 ROUNDS = 8
 #: A record is residue if the slot marks of one passage, or a run of passages, weigh more than these.
 PASSAGE_ODDS, RUN_ODDS = 3.0, 8.0
@@ -181,10 +181,11 @@ def fit(records: DataFrame, templates: DataFrame, text_col: str, rows: int = SAM
     return Bayes(content, sure, others[:other_rows])
 
 
-def mark_residue(records: DataFrame, templates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, residue, odds) for every row; null, empty and blank texts are kept (residue = false, odds 0)."""
+def mark_residue(records: DataFrame, templates: DataFrame, id_col: str, text_col: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """(id, residue, odds) for every row; null, empty and blank texts are kept (residue = false, odds 0). The sample is
+    taken from fit_on, by default the records; where they come from a costly plan, name the table behind them."""
     id_type = dict(records.dtypes)[id_col]
-    model = fit(records, templates, text_col)
+    model = fit(records if fit_on is None else fit_on, templates, text_col)
     weights = records.sparkSession.sparkContext.broadcast((model.weights, model.prior, model.unseen))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

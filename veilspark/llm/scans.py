@@ -89,6 +89,11 @@ def is_scan(text: str | None) -> bool:
     return n >= 2
 
 
+def ends_as_number(line: str) -> bool:
+    """Whether a line ends as lines with a page number do; others need no closer look."""
+    return line[-1:].isdigit() or line[-1:] in (")", "]", "-", "–", "—")
+
+
 def skeleton(line: str) -> str:
     """What is left of a line when scanning errors and page numbers are set aside."""
     s = re.sub(r"rn", "m", line.lower().translate(_ALIKE).replace("cl", "d").replace("vv", "w"))
@@ -104,6 +109,8 @@ def observe(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, ...] | N
     bones = [skeleton(s) for s in stripped]
     again = Counter(x for x in bones if len(x) >= 6)
     full = [i for i, s in enumerate(stripped) if s]
+    may = [ends_as_number(s) for s in stripped]
+    bare = [m and BARE.fullmatch(s) is not None for m, s in zip(may, stripped)]
     width = sorted(len(stripped[i]) for i in full)[int(len(full) * 0.8)] if full else 0
     out: list[tuple[int, ...] | None] = []
     order = {i: k for k, i in enumerate(full)}
@@ -112,10 +119,10 @@ def observe(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, ...] | N
             out.append(None)
             continue
         k = order[i]
-        before = next((stripped[j] for j in reversed(full[max(0, k - 2) : k]) if not BARE.fullmatch(stripped[j])), "")
-        after = next((stripped[j] for j in full[k + 1 : k + 3] if not BARE.fullmatch(stripped[j])), "")
+        before = next((stripped[j] for j in reversed(full[max(0, k - 2) : k]) if not bare[j]), "")
+        after = next((stripped[j] for j in full[k + 1 : k + 3] if not bare[j]), "")
         dot = " · " in s or " | " in s and len(s) < 50 and text[spans[i][0] : spans[i][0] + 3].isspace()
-        number = 2 if WORDED.fullmatch(s) and BARE.fullmatch(s) else 1 if BARE.fullmatch(s) else 3 if TAIL.fullmatch(s) else 4 if dot else 0
+        number = (2 if WORDED.fullmatch(s) else 1) if bare[i] else 3 if may[i] and TAIL.fullmatch(s) else 4 if dot else 0
         dash = " – " in s and s[-1] not in ".,;:" and len(s) < 100 and not s[0].islower()
         same = len(bones[i]) >= 6 and again[bones[i]] > 1
         a, b = spans[i]
@@ -152,11 +159,15 @@ class Lines:
     def _logs(self) -> None:
         self.log_rates = {s: [[math.log(p) for p in row] for row in rows] for s, rows in self.rates.items()}
         self.log_moves = [[math.log(p) for p in row] for row in self.moves]
+        self.emitted: dict[tuple[int, ...], list[float]] = {}  # features have few values, so there are few of them
 
     def emit(self, seen: tuple[int, ...] | None) -> list[float]:
         if seen is None:
             return [-60.0, 0.0, -60.0, -60.0]
-        return [-60.0 if s == "break" else sum(row[v] for row, v in zip(self.log_rates[s], seen)) for s in STATES]
+        got = self.emitted.get(seen)
+        if got is None:
+            got = self.emitted[seen] = [-60.0 if s == "break" else sum(row[v] for row, v in zip(self.log_rates[s], seen)) for s in STATES]
+        return got
 
     def label(self, seen: list[tuple[int, ...] | None]) -> list[int]:
         """The likeliest states (Viterbi)."""
