@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -29,7 +29,7 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int] | Non
     return [min(n, c) for n, c in zip(out, caps)] if caps is not None else out
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size: str | Column, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection: id, source, size, repeats; report: one row per target source).
 
     The total (default: the tokens of all documents of target sources) is cut into equal blocks, and the sources get
@@ -38,7 +38,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_
     Within a source every document is repeated as often as the quota holds all of them; what is left is apportioned to
     hash shards by the same rule and filled there in seeded order. Documents with a null source, a source without a
     target, or size 0 are never drawn. A source named twice in targets counts by its summed share and least repeats;
-    null shares and repeats count as 0.
+    null shares and repeats count as 0. The size is a column or an expression, which is only asked for in target sources.
 
     The driver holds one number for each target source (MOST_SOURCES at most); shards stay in tables.
     """
@@ -49,8 +49,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     names = F.broadcast(spark.createDataFrame([(r["_source"],) for r in goals], "_source string"))
     slot = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(MOST_SHARDS)).cast("int")
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("_size")).where("_size > 0")
-    sized = cut(sized.join(names, "_source", "left_semi"))  # sizes are costly and read by the sums and by the draw
+    own = docs.withColumn("_source", F.col(source_col)).join(names, "_source", "left_semi")
+    costs = F.col(size) if isinstance(size, str) else size
+    # Sizes are costly and read by the sums and by the draw.
+    sized = cut(own.select(F.col(id_col).alias("_id"), "_source", costs.cast("bigint").alias("_size"))).where("_size > 0")
     sums = cut(sized.groupBy("_source", slot.alias("_slot")).agg(F.count("*").alias("n"), F.sum("_size").alias("tokens")))
     found = {r["_source"]: (r["n"], r["tokens"]) for r in sums.groupBy("_source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     everything = sum(tokens for _, tokens in found.values())

@@ -21,9 +21,9 @@ def _limits(spark: SparkSession, d: str, purpose: str) -> tuple[int, int]:
     return int(row["max_tokens"]), int(row["overlap_tokens"] or 0)
 
 
-def _sized(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents").select("doc_id", *more, "text"))
-    return docs.select("doc_id", *more, token_count(F.col("text")).alias("tokens"))
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", token_count(F.col("text")).alias("tokens"))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,8 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "tokens", seed=SEED)
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(docs, table(spark, d, "mix_targets"), "doc_id", "source", token_count(F.col("text")), seed=SEED)
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
