@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +31,15 @@ WORD = re.compile(r"[^\W\d_]+|\d+|\{\{?[^{}\n]{1,40}\}?\}|<<[^<>\n]{1,40}>>|\[\[
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat".split())
 # Words that stand in brackets for a sign of a mail address.
 SPELLED = frozenset("at dot punkt point punto chiocciola arroba arobase klammeraffe ät".split())
+CODE = re.compile(r"\W*(?:HTTP\W*|Error\W*|Fehler\W*|Erreur\W*|Errore\W*)?[45]\d\d\b\W*\D{0,60}$", re.I)
 NOTICE = re.compile(
-    r"^\W*(?:HTTP\W*|Error\W*|Fehler\W*|Erreur\W*|Errore\W*)?[45]\d\d\b\W*\D{0,60}$|java\s?script|\bcookies?\b|\bbrowser|blindtext|platzhaltertext"
+    r"java\s?script|\bcookies?\b|\bbrowser|blindtext|platzhaltertext"
     r"|placeholder text|dummy text|texte de remplissage|testo (?:segnaposto|riempitivo)|texto de relleno|bad gateway|forbidden|internal server error|service unavailable"
     r"|access denied|timed out|zugriff verweigert|accès refusé|accesso negato|acceso denegado|zurück zur startseite|retour à l'accueil|torna alla pagina iniziale|volver al inicio|^\W*go back\W*$",
     re.I,
 )
+# Signs of which a notice that is no code holds one.
+NOTICE_SIGNS = ("script", "cookie", "browser", "blindtext", "platzhaltertext", "placeholder", "dummy", "remplissage", "segnaposto", "riempitivo", "relleno", "gateway", "forbidden", "server error", "unavailable", "denied", "timed out", "verweigert", "refusé", "negato", "denegado", "startseite", "accueil", "pagina iniziale", "inicio", "go back")
 
 
 def mark(token: str) -> str:
@@ -77,19 +81,24 @@ def passages(text: str) -> list[str]:
     return [x for x in PASSAGE.split(text) if x and not x.isspace()]
 
 
+# Signs that any slot holds; texts without them need no closer look.
+SLOT_SIGNS = re.compile(r"[{<\[%$«#]|__|\.{4}")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def trusted(text: str, content: frozenset[str] | set[str]) -> bool:
     """Residue beyond doubt: a slot with a name, mostly filler words, or a notice in a record without known content."""
-    parts = [features(x) for x in passages(text)]
-    words = [w for part in parts for w in part if " " not in w]
-    if any(is_slot(w) for w in words):
+    if SLOT_SIGNS.search(text) and any(is_slot(w) for x in passages(text) for w in features(x)):
         return True
-    letters = [w for w in words if w[:1].isalpha()]
-    if len(letters) >= 6 and sum(w in FILLER for w in letters) >= 0.7 * len(letters):
+    low = text.lower()
+    words = LETTERS.findall(low)
+    if len(words) >= 6 and sum(w in FILLER for w in words) >= 0.7 * len(words):
         return True
-    if not any(NOTICE.search(x) for x in passages(text)):
+    parts = passages(text)
+    if not any(map(CODE.match, parts)) and not (any(x in low for x in NOTICE_SIGNS) and any(map(NOTICE.search, parts))):
         return False
     # Three words in a row that stand in a template are content.
-    for part in parts:
+    for part in map(features, parts):
         pairs = [w in content for w in part if " " in w]
         if any(a and b for a, b in zip(pairs, pairs[1:])):
             return False
@@ -113,34 +122,42 @@ class Bayes:
                     negative.update(part)
                 else:
                     positive.update(part)
-        others = [Counter(f for x in passages(t) for f in features(x)) for t in other_texts]
-        posterior = [0.0] * len(others)
-        self.weights: dict[str, float] = {}
-        self.unseen = 0.0
-        self.prior = 0.0
+        # The others as rows of (record, feature, count), over which each round is a few sums.
+        index: dict[str, int] = {f: i for i, f in enumerate(positive.keys() | negative.keys())}
+        records, own, times = [], [], []
+        for k, text in enumerate(other_texts):
+            for f, n in Counter(f for x in passages(text) for f in features(x)).items():
+                records.append(k)
+                own.append(index.setdefault(f, len(index)))
+                times.append(n)
+        rows, cols, counts = np.array(records, dtype=np.int64), np.array(own, dtype=np.int64), np.array(times, dtype=float)
+        size, total = len(index), len(other_texts)
+        start_p, start_n = np.zeros(size), np.zeros(size)
+        for into, given in ((start_p, positive), (start_n, negative)):
+            for f, n in given.items():
+                into[index[f]] = n
+        posterior = np.zeros(total)
+        weights = np.zeros(size)
+        self.unseen = self.prior = 0.0
+        seen = np.zeros(size, dtype=bool)
         for _ in range(rounds):
-            p, n = Counter(positive), Counter(negative)
-            for q, counts in zip(posterior, others):
-                for f, k in counts.items():
-                    if q > 0.01:
-                        p[f] += q * k
-                    if q < 0.99:
-                        n[f] += (1 - q) * k
-            size_p, size_n, kinds = sum(p.values()), sum(n.values()), len(p.keys() | n.keys()) or 1
-            smooth = 0.05
-            base_p, base_n = math.log(size_p + smooth * kinds), math.log(size_n + smooth * kinds)
+            q = posterior[rows]
+            p = start_p + np.bincount(cols, np.where(q > 0.01, q, 0.0) * counts, size)
+            n = start_n + np.bincount(cols, np.where(q < 0.99, 1 - q, 0.0) * counts, size)
+            seen = (p > 0) | (n > 0)
+            smooth, kinds = 0.05, max(1, int(seen.sum()))
+            base_p, base_n = math.log(p.sum() + smooth * kinds), math.log(n.sum() + smooth * kinds)
             self.unseen = base_n - base_p
-            self.weights = {f: math.log(p[f] + smooth) - base_p - math.log(n[f] + smooth) + base_n for f in p.keys() | n.keys()}
-            mass = sum(posterior) + len(sure)
-            self.prior = math.log((mass + 1) / (len(others) + len(sure) - mass + 1))
-            new = []
-            for counts in others:
-                s = self.prior + 0.5 * sum(k * self.weights.get(f, 0.0) for f, k in counts.items())
-                new.append(1 / (1 + math.exp(-max(-50.0, min(50.0, s)))))
-            moved = sum(abs(a - b) for a, b in zip(new, posterior))
+            weights = np.log(p + smooth) - np.log(n + smooth) + self.unseen
+            mass = float(posterior.sum()) + len(sure)
+            self.prior = math.log((mass + 1) / (total + len(sure) - mass + 1))
+            odds = self.prior + 0.5 * np.bincount(rows, weights[cols] * counts, total)
+            new = 1 / (1 + np.exp(-np.clip(odds, -50.0, 50.0)))
+            moved = float(np.abs(new - posterior).sum())
             posterior = new
             if moved < 0.5:
                 break
+        self.weights: dict[str, float] = {f: float(weights[i]) for f, i in index.items() if seen[i]}
 
     def score(self, text: str) -> list[tuple[float, bool]]:
         """(log odds, has a slot) of each passage. Single words and pairs overlap, so their sum counts half."""
