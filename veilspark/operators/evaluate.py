@@ -266,6 +266,21 @@ def containment(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return out.select(*SPAN_KEYS, verdict.alias("verdict"), F.when(verdict == "label", F.array_join("instead", ", ")).alias("instead"))
 
 
+def verdict_table(judged_: DataFrame, block: str) -> DataFrame:
+    """(block, tag, right, label, leak) from containment() with a column that names a block of probes."""
+    return judged_.groupBy(block, "tag").pivot("verdict", ["right", "label", "leak"]).count().na.fill(0)
+
+
+def cases(gold_docs: DataFrame, found: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(gold, predictions) as span tables, from gold documents (key, text, spans as array<struct<tag, start, end>>) and finds
+    (key, spans); documents without text have none, and finds of other documents are left out."""
+    own = gold_docs.where("text is not null")
+    flat = lambda df: df.select(F.col(key).alias("doc_id"), *(["text"] if "text" in df.columns else []), F.explode("spans").alias("s"))
+    gold = flat(own).select("doc_id", "s.tag", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    pred = flat(found.join(own.select(key), key, "left_semi").drop("text")).select("doc_id", "s.tag", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+    return gold, pred
+
+
 def unreported(expected: DataFrame, reported: DataFrame, key: str) -> DataFrame:
     """What was expected and is missing from a report."""
     return expected.select(key).distinct().join(reported.select(key), key, "left_anti")

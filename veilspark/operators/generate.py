@@ -93,6 +93,18 @@ def draw_weighted(rows: DataFrame, key: Column, ranges: DataFrame, group_col: st
     return drawn.withColumn(into, F.element_at(F.filter("_l", lambda x: x["upto"] > F.col("_p")), 1)[name_col]).drop("_l", "_p")
 
 
+def number_spellings(value: Column, sizes: tuple[int, ...]) -> Column:
+    """map<string, string> of the ways an identifier is written: in one piece, and in groups of the given sizes with blanks,
+    stops, hyphens and narrow blanks between them."""
+    bare = F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
+    parts, at = [], 1
+    for n in sizes:
+        parts.append(F.substring(bare, at, n))
+        at += n
+    shown = {"compact": bare} | {name: F.concat_ws(sep, *parts) for name, sep in (("blank", " "), ("stop", "."), ("hyphen", "-"), ("narrow", "\u202f"))}
+    return F.create_map(*[x for k, v in shown.items() for x in (F.lit(k), v)])
+
+
 def spellings(probe: Column, letters: str) -> Column:
     """Probes for character sets: the text with its second letter swapped for each of the given ones."""
     return F.transform(F.split(F.lit(letters), ""), lambda c: F.concat(F.substring(probe, 1, 1), c, F.substring(probe, F.lit(3), F.length(probe))))

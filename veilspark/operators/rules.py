@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import subprocess
 import sys
@@ -110,6 +112,26 @@ def load(rules: Iterable[dict], findings: list[str] | None = None) -> dict[str,
     return out
 
 
+def load_file(path: str, findings: list[str] | None = None) -> dict[str, Rule]:
+    """Rules from a file: JSON, or YAML where a reader for it is installed; a missing file has none."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        body = f.read()
+    try:
+        data = json.loads(body)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("no JSON, and no reader for YAML here") from e
+        try:
+            data = yaml.safe_load(body) or {}
+        except yaml.YAMLError as e:
+            raise ValueError(f"no valid YAML: {e}") from e
+    return load(data.get("rules", data.get("regeln", [])) if isinstance(data, dict) else data, findings)
+
+
 def apply(text: Column, rules: dict[str, Rule]) -> Column:
     """array<span> of the rules, source benutzer; null and empty texts have none."""
     return recognise(text, rules, iban=False)

@@ -331,6 +331,8 @@ def inject_table(rows: DataFrame, id_col: str, template_col: str, lang_col: str,
 def generate(spark: SparkSession, templates: DataFrame, values: Values, n: int, seed: int = 0, lang: str | None = None, noise: float = 0.0) -> DataFrame:
     """n examples (fewer if most templates cannot be filled): id, template_id, lang, text, spans, decoys. Each id draws up to
     ten templates until one can be filled. Templates come to every worker; more than MOST_VALUES raise."""
+    if "eval_only" in templates.columns and not templates.where("eval_only").isEmpty():
+        raise ValueError("templates that are kept for evaluation make no training data")
     own = templates.where("text is not null and template_id is not null")
     own = own if lang is None else own.where(F.col("lang") == lang)
     pool = [(r["template_id"], r["text"], r["lang"] or "de") for r in own.select("template_id", "text", "lang").orderBy("template_id", "text").limit(MOST_VALUES + 1).collect() if not findings_of(r["text"])]

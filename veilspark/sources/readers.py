@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import label_hash
 from ..functions.text import html_text, readable_part
+from .office import OLE2, message_text
 
-# Extensions that are read, the signature of legacy office files, encodings in order of trial.
-REJECTED = ("doc", "dot", "xls", "ppt", "pdf", "msg")
-READABLE = ("txt", "md", "log", "text", "csv", "json", "eml", "mbox", "docx", "html", "htm", "")
-OLE2 = bytes.fromhex("d0cf11e0a1b11ae1")
+# Extensions that are read, those that have no reader, encodings in order of trial.
+REJECTED = ("doc", "dot", "xls", "ppt", "pdf")
+READABLE = ("msg", "txt", "md", "log", "text", "csv", "json", "eml", "mbox", "docx", "html", "htm", "")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "iso-8859-1")
 DOCX_LIMIT = 64 * 1024 * 1024
 DOCUMENT = "path string, doc_no int, kennung string, format string, text string, hinweise array<struct<schluessel:string,werte:map<string,string>,text:string>>"
@@ -95,6 +95,13 @@ def documents_of(path: str, body: bytes) -> list[tuple]:
     stem, _, ext = name.rpartition(".") if "." in name else (name, "", "")
     ext = ext.lower()
     try:
+        if ext == "msg":
+            head, text, names = message_text(body, lambda raw: decode(raw)[0])
+            found = [notice("anhang_uebersprungen", "attachment left out", name=n) for n in names]
+            found += [] if text.strip() else [notice("msg_ohne_textrumpf", "no plain body")]
+            text, left = readable_part(text)
+            found += [notice("binaerrest", "binary tail left out", zeichen=left)] if left else []
+            return [(0, name, "msg", f"{head}\n\n{text}".strip(), found)]
         if ext in REJECTED or body.startswith(OLE2) or body.startswith(b"%PDF-"):
             return [(0, name, ext or "msg", None, [notice("nicht_gelesen", "no reader for this format", endung=ext)])]
         if ext == "eml":
