@@ -73,12 +73,12 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, column: str, rows: int, of: int) -> DataFrame:
-    """At most rows rows of df, which has about `of`, by hash order of a column. A threshold on the hash leaves about
-    twice the rows before they are sorted, so that no task sends more than its part of them."""
+    """At most rows rows of df, which has about `of`, by hash order of a column, each value of it once. A threshold on the
+    hash leaves about twice the rows, and copies are put together, before anything is sorted."""
     h = F.xxhash64(column)
     if of > 4 * rows:
         df = df.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2 * rows / of))
-    return df.orderBy(h).limit(rows)
+    return df.dropDuplicates([column]).orderBy(h).limit(rows)
 
 
 def text_sample(df: DataFrame, column: str, rows: int, chars: int, by: str | None = None) -> dict[str, list[str]]:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 

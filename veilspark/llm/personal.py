@@ -512,7 +512,8 @@ def learn(rows: list[tuple[str, list[tuple[str, int, int]]]], given: set[str], f
 def fit(examples: DataFrame, names: DataFrame, rows: int = TRAIN_ROWS) -> Finder:
     """Fit on the driver on at most rows labelled texts (text, spans) and the name list; every row is searched later."""
     own = examples.where((F.length("text") > 0) & (F.size("spans") > 0)).select("text", "spans")
-    sample = hash_sample(own, "text", rows, own.count()).collect()
+    # Texts are counted once, as one may be delivered any number of times.
+    sample = hash_sample(own, "text", rows, own.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]).collect()
     lists: dict[str, set[str]] = defaultdict(set)
     forms = names.where("name_form is not null and kind is not null").select("name_form", "kind").distinct()
     if forms.count() > MOST_NAMES:
