@@ -168,31 +168,42 @@ def _number(tag: str, rng: Random) -> str | None:
     return None
 
 
+# The shapes of values that no list holds. {a-b} is a number, of the width of a if that starts with 0, {x|y}
+# one of several, {AREA} an area code and {CANTON} a canton.
+SHAPES = {
+    "TIME": "{07-18}:{00|15|30|45}",
+    "PHONE": "{+41 |0}{AREA} {100-999} {10-99} {10-99}",
+    "EMAIL": "{info|kontakt|a.muster|m.beispiel}@{example.ch|muster.ch|gemeinde.ch}",
+    "AGE": "{18-92}",
+    "AMOUNT": "CHF {1-9}'{000-999}.{00|50|--}",
+    "EGID": "{100000-9999999}",
+    "EWID": "{1-120}",
+    "MUNICIPALITY_ID": "{1-6810}",
+    "PLATE": "{CANTON} {1-999999}",
+    "CANTON": "{CANTON}",
+    "CASE_ID": "{EWK|SOZ|BAU|STA}-{2015-2026}-{00001-99999}",
+    "IDDOC": "{X|S|F|C|A}{1000000-9999999}",
+    "PARCEL": "{1-4999}",
+    "BUILDINGNUM": "{1-120}{|||a|b}",
+    "ZIPCODE": "{1000-9657}",
+    "URL": "https://www.{example|muster|gemeinde}.ch/{formular|dienste|a/b}",
+    "ZSR_RCC": "{A|B|C|D|E|F|G|H|K|L|M|N|P|R|S|T|V|W|Z}{100000-999999}",
+    "INSURANCE_CARD": "80756{000000000000000-999999999999999}",
+    "IPADDRESS": "{1-254}.{1-254}.{1-254}.{1-254}",
+}
+_HOLE, _RANGE = re.compile(r"\{([^{}]*)\}"), re.compile(r"(\d+)-(\d+)")
+
+
 def made(tag: str, rng: Random) -> str:
-    """A value from the shape of its tag; <TAG> for tags that have neither list nor shape."""
-    n, pick = rng.randint, rng.choice
-    makers = {
-        "TIME": lambda: f"{n(7, 18):02d}:{pick(('00', '15', '30', '45'))}",
-        "PHONE": lambda: f"{pick(('+41 ', '0'))}{pick(AREAS)} {n(100, 999)} {n(10, 99)} {n(10, 99)}",
-        "EMAIL": lambda: f"{pick(('info', 'kontakt', 'a.muster', 'm.beispiel'))}@{pick(('example.ch', 'muster.ch', 'gemeinde.ch'))}",
-        "AGE": lambda: str(n(18, 92)),
-        "AMOUNT": lambda: f"CHF {n(1, 9)}'{n(0, 999):03d}.{pick(('00', '50', '--'))}",
-        "EGID": lambda: str(n(100_000, 9_999_999)),
-        "EWID": lambda: str(n(1, 120)),
-        "MUNICIPALITY_ID": lambda: str(n(1, 6810)),
-        "PLATE": lambda: f"{pick(CANTONS)} {n(1, 999_999)}",
-        "CANTON": lambda: pick(CANTONS),
-        "CASE_ID": lambda: f"{pick(('EWK', 'SOZ', 'BAU', 'STA'))}-{n(2015, 2026)}-{n(1, 99_999):05d}",
-        "IDDOC": lambda: f"{pick('XSFCA')}{n(1_000_000, 9_999_999)}",
-        "PARCEL": lambda: str(n(1, 4999)),
-        "BUILDINGNUM": lambda: f"{n(1, 120)}{pick(('', '', '', 'a', 'b'))}",
-        "ZIPCODE": lambda: str(n(1000, 9657)),
-        "URL": lambda: f"https://www.{pick(('example', 'muster', 'gemeinde'))}.ch/{pick(('formular', 'dienste', 'a/b'))}",
-        "ZSR_RCC": lambda: f"{pick('ABCDEFGHKLMNPRSTVWZ')}{n(100_000, 999_999)}",
-        "INSURANCE_CARD": lambda: f"80756{rng.randrange(10**15):015d}",
-        "IPADDRESS": lambda: ".".join(str(n(1, 254)) for _ in range(4)),
-    }
-    return makers[tag]() if tag in makers else f"<{tag}>"
+    """A value of the tag's shape; <TAG> for tags that have neither list nor shape."""
+
+    def fill(hole: re.Match) -> str:
+        if bounds := _RANGE.fullmatch(hole[1]):
+            number = str(rng.randint(int(bounds[1]), int(bounds[2])))
+            return number.zfill(len(bounds[1])) if bounds[1][0] == "0" else number
+        return rng.choice({"AREA": AREAS, "CANTON": CANTONS}.get(hole[1]) or hole[1].split("|"))
+
+    return _HOLE.sub(fill, SHAPES.get(tag, f"<{tag}>"))
 
 
 def noisy_value(value: str, rng: Random) -> str:
@@ -222,68 +233,84 @@ def shown(day: datetime.date, lang: str, rng: Random) -> str:
 
 
 Made = tuple[str, list[tuple[str, int, int, str | None]], list[tuple[int, int, str]]]
+#: A piece of a template: what it is ("" literal, "tag", "decoy"), its text or name, and the macro it belongs to.
+Piece = tuple[str, str, str | None]
+
+
+def pieces(template: str, lang: str, rng: Random) -> list[Piece] | None:
+    """A template in pieces, its macros replaced by one of their variants for the language; None if a macro or a decoy is
+    unknown."""
+    literals = SLOT.split(template)
+    out: list[Piece] = [("", literals[0], None)]
+    for k, (mark, name, literal) in enumerate(zip(literals[1::3], literals[2::3], literals[3::3])):
+        if mark == "@":
+            variants = [v for v in MACROS.get(name, ()) if v[0] in ("", lang)]
+            if not variants:
+                return None
+            [(_, _, parts)] = rng.choices(variants, [v[1] for v in variants])
+            out += [("tag" if x.isupper() and x.isidentifier() else "", x, f"@{name}:{k}") for x in parts]
+        elif mark == "~" and name not in DECOYS:
+            return None
+        else:
+            out.append(("decoy" if mark else "tag", name, None))
+        out.append(("", literal, None))
+    return out
+
+
+class Letter:
+    """The values of one text: its own date and those that follow it, an address for each macro, and what lists and shapes
+    give."""
+
+    def __init__(self, lang: str, values: Values, rng: Random, noise: float):
+        self.lang, self.values, self.rng, self.noise = lang, values, rng, noise
+        self.day = datetime.date(2019, 1, 1) + datetime.timedelta(days=rng.randrange(2600))
+        self.days = self._days()
+        self.addresses: dict[str, dict[str, str]] = {}
+
+    def _days(self) -> Iterator[datetime.date]:
+        day = self.day
+        while True:
+            yield day
+            day += datetime.timedelta(days=self.rng.randrange(1, 400))
+
+    def date(self, before: str) -> str:
+        if announces_birth_text(before):
+            return shown(self.day - datetime.timedelta(days=self.rng.randrange(6570, 32850)), self.lang, self.rng)
+        return shown(next(self.days), self.lang, self.rng)
+
+    def value(self, tag: str, macro: str | None, before: str) -> str:
+        if tag == "DATE":
+            return self.date(before)
+        if macro and tag in ("STREET", "ZIPCODE", "CITY") and self.values.addresses:
+            if macro not in self.addresses:
+                self.addresses[macro] = dict(zip(("STREET", "ZIPCODE", "CITY"), self.rng.choice(self.values.addresses)))
+            return self.addresses[macro][tag]
+        value = _number(tag, self.rng) or self.values.draw(tag, self.lang, self.rng) or made(tag, self.rng)
+        return noisy_value(value, self.rng) if tag in NOISY and self.rng.random() < self.noise else value
 
 
 def filled(template: str, lang: str, values: Values, rng: Random, noise: float = 0.0) -> Made | None:
-    """(text, spans as (tag, start, end, group), decoys as (start, end, kind)) of a template, or None if a slot has no value.
+    """(text, spans as (tag, start, end, macro), decoys as (start, end, kind)) of a template, or None if a slot has no value.
 
     {TAG} draws a value, {@macro} a variant for the language whose address belongs together, {~kind} a decoy. The first
     date is the document's own, the others follow it by up to 400 days, and an announced date of birth lies decades before.
     """
-    out: list[str] = []
+    own = pieces(template, lang, rng)
+    if own is None:
+        return None
+    letter, text = Letter(lang, values, rng, noise), ""
     spans: list[tuple[str, int, int, str | None]] = []
     decoys: list[tuple[int, int, str]] = []
-    at, last = 0, 0
-    own_day = datetime.date(2019, 1, 1) + datetime.timedelta(days=rng.randrange(2600))
-    day: datetime.date | None = None
-    address: dict[str, str] = {}
-
-    def put(piece: str) -> None:
-        nonlocal at
-        out.append(piece)
-        at += len(piece)
-
-    def value_of(tag: str) -> str:
-        nonlocal day
-        if tag == "DATE":
-            if announces_birth_text("".join(out[-8:])):
-                return shown(own_day - datetime.timedelta(days=rng.randrange(6570, 32850)), lang, rng)
-            day = own_day if day is None else day + datetime.timedelta(days=rng.randrange(1, 400))
-            return shown(day, lang, rng)
-        value = address.get(tag) or _number(tag, rng) or values.draw(tag, lang, rng) or made(tag, rng)
-        return noisy_value(value, rng) if noise and tag in NOISY and rng.random() < noise else value
-
-    def slot(tag: str, group: str | None) -> None:
-        start = at
-        put(value_of(tag))
-        spans.append((tag, start, at, group))
-
-    for m in SLOT.finditer(template):
-        put(template[last : m.start()])
-        last = m.end()
-        mark, name = m[1], m[2]
-        if mark == "~":
-            kinds = DECOYS.get(name)
-            if kinds is None:
-                return None
-            start = at
-            put(rng.choice(kinds.get(lang) or kinds["de"]))
-            decoys.append((start, at, name))
-        elif mark == "@":
-            variants = [v for v in MACROS.get(name, ()) if v[0] in ("", lang)]
-            if not variants:
-                return None
-            _, _, parts = rng.choices(variants, [v[1] for v in variants])[0]
-            group, address = f"@{name}:{len(spans)}", {}
-            if {"STREET", "ZIPCODE", "CITY"} & set(parts) and values.addresses:
-                address = dict(zip(("STREET", "ZIPCODE", "CITY"), rng.choice(values.addresses)))
-            for part in parts:
-                slot(part, group) if part.isupper() and part.isidentifier() else put(part)
-            address = {}
+    for kind, name, macro in own:
+        at = len(text)
+        if kind == "tag":
+            text += letter.value(name, macro, text[-80:])
+            spans.append((name, at, len(text), macro))
+        elif kind == "decoy":
+            text += rng.choice(DECOYS[name].get(lang) or DECOYS[name]["de"])
+            decoys.append((at, len(text), name))
         else:
-            slot(name, None)
-    put(template[last:])
-    text = "".join(out)
+            text += name
     if _UNFILLED.search(text) or any(not text[a:b].strip() for _, a, b, _ in spans):
         return None
     return text, spans, decoys

@@ -22,7 +22,7 @@ def _masks(spark: SparkSession, d: str) -> DataFrame:
 _FIRST = "list_sort(map_keys(dictionary))[1]"
 
 
-@query(f"""SELECT mask_id, CASE WHEN dictionary[k] IS NULL THEN text ELSE replace(text, k, dictionary[k]) END AS text, CASE WHEN dictionary[k] IS NULL THEN cardinality(dictionary) ELSE cardinality(dictionary) - 1 END AS entries FROM (SELECT *, {_FIRST} AS k FROM ({_WORDS}))""")
+@query(f"""SELECT mask_id, CASE WHEN dictionary[k] IS NULL THEN text ELSE replace(text, k, dictionary[k]) END AS text, CAST(cardinality(dictionary) AS BIGINT) - CASE WHEN dictionary[k] IS NULL THEN 0 ELSE 1 END AS entries FROM (SELECT *, {_FIRST} AS k FROM ({_WORDS}))""")
 def unmasked_texts(spark: SparkSession, d: str) -> DataFrame:
     """The first placeholder of each dictionary taken back by hand."""
     out = _masks(spark, d).select("mask_id", edits.unmasked(F.col("text"), F.col("dictionary"), F.array_min(F.map_keys("dictionary"))).alias("e"))
@@ -123,9 +123,13 @@ def summed_names(spark: SparkSession, d: str) -> DataFrame:
     return lists.weighted_names(marked, "name_form", "weight")
 
 
-@query()
+_DIGITS = ", ".join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT)" for k in range(5))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT CAST(to_json(struct_pack(kind := kind, name := trim(regexp_replace(name_form, '\\s+', ' ', 'g')))) AS VARCHAR) AS v FROM name_weights WHERE name_form IS NOT NULL AND kind IS NOT NULL), h AS (SELECT sha256(v) AS h FROM v)
+    SELECT count(*) AS n, substr(sha256(concat_ws('|', count(*), {_DIGITS})), 1, 16) AS fingerprint FROM h""")
 def list_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return lists.fingerprint(table(spark, d, "name_weights").select(F.col("name_form").alias("name"), "kind"))
+    return lists.fingerprint(table(spark, d, "name_weights").where("kind is not null").select(F.col("name_form").alias("name"), "kind"))
 
 
 @query("""WITH r AS (SELECT kind, name_form, CAST(sum(w) OVER (PARTITION BY kind ORDER BY name_form) AS BIGINT) AS upto FROM (SELECT kind, name_form, sum(greatest(1, CAST(floor(sqrt(greatest(coalesce(weight, 0), 0))) AS INT))) AS w FROM name_weights WHERE name_form IS NOT NULL AND kind IS NOT NULL GROUP BY 1, 2)),

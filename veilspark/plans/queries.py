@@ -194,7 +194,7 @@ def tag_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.overlapping(gold, _pred(gold)).groupBy("tag").agg(F.count("*").alias("met"))
 
 
-@query(f"""WITH {_MATCHED} SELECT tag, count(*) AS spans, CAST(sum(significant) AS BIGINT) AS significant, CAST(sum(open_chars) AS BIGINT) AS open_chars, count(*) FILTER (open_chars > 0) AS leaked, round(sum(leak_weight), 6) AS leak_weight, round(sum(weight), 6) AS weight FROM gold_rows GROUP BY 1""")
+@query(f"""WITH {_MATCHED} SELECT tag, count(*) AS spans, CAST(sum(significant) AS BIGINT) AS significant, CAST(sum(open_chars) AS BIGINT) AS open_chars, count(*) FILTER (open_chars > 0) AS leaked, round(sum(leak_weight), 6) AS leak_weight, round(CAST(sum(weight) AS DOUBLE), 6) AS weight FROM gold_rows GROUP BY 1""")
 def tag_leaks(spark: SparkSession, d: str) -> DataFrame:
     gold = _gold(spark, d)
     out = evaluate.leaks(gold, _pred(gold)).groupBy("tag")
@@ -475,7 +475,14 @@ def template_findings(spark: SparkSession, d: str) -> DataFrame:
     return synthesis.check_templates(rows, ("AHVN13",)).where("finding not like 'equal%' and finding not like 'label%'")
 
 
-@query()
+_TOKENS = matches_sql("[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]", "t", "example_id", "x")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT ON (example_id) example_id, text, spans FROM examples WHERE text IS NOT NULL), x AS (SELECT example_id, {kinds_sql("text")} AS t FROM e), tok AS ({_TOKENS}),
+    s AS (SELECT example_id, unnest(spans) AS s, unnest(range(1, len(spans) + 1)) AS k FROM e), ss AS (SELECT example_id, s.tag AS tag, s.start_pos AS a, s.end_pos AS b, k FROM s WHERE s.tag IS NOT NULL),
+    hit AS (SELECT tok.example_id, tok.start_pos, min(struct_pack(a := ss.a, b := ss.b, k := ss.k, tag := ss.tag)) AS h FROM tok JOIN ss ON ss.example_id = tok.example_id AND ss.a < tok.end_pos AND tok.start_pos < ss.b GROUP BY 1, 2),
+    lab AS (SELECT tok.example_id, tok.start_pos, CASE WHEN h IS NULL THEN 'O' WHEN row_number() OVER (PARTITION BY tok.example_id, h ORDER BY tok.start_pos) = 1 THEN 'B-' || h.tag ELSE 'I-' || h.tag END AS label FROM tok LEFT JOIN hit ON hit.example_id = tok.example_id AND hit.start_pos = tok.start_pos)
+    SELECT e.example_id, CAST(count(label) AS INT) AS tokens, coalesce(string_agg(label, ' ' ORDER BY start_pos), '') AS labels FROM e LEFT JOIN lab ON lab.example_id = e.example_id GROUP BY 1""")
 def token_labels(spark: SparkSession, d: str) -> DataFrame:
     own = F.transform(F.coalesce("spans", F.array().cast("array<struct<tag:string,start_pos:int,end_pos:int>>")), lambda s: F.struct(s["tag"].alias("tag"), s["start_pos"].alias("start"), s["end_pos"].alias("end")))
     rows = spread(table(spark, d, "examples").where("text is not null").select("example_id", "text", own.alias("own"))).dropDuplicates(["example_id"]).withColumn("toks", labels.tokens(F.col("text")))
