@@ -77,7 +77,7 @@ def made_cards(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_orderkey, acc, lpad(CAST(98 - CAST('762' || acc || '121700' AS HUGEINT) % 97 AS VARCHAR), 2, '0') AS check_no
     FROM (SELECT o_orderkey, lpad(CAST((o_orderkey * 7919) % 1000000000000 AS VARCHAR), 12, '0') AS acc FROM orders))""")
 def made_ibans(spark: SparkSession, d: str) -> DataFrame:
-    made = table(spark, d, "orders").select("o_orderkey", checksums.make_iban(F.col("o_orderkey")).alias("grouped"))
+    made = spread(table(spark, d, "orders").select("o_orderkey")).select("o_orderkey", checksums.make_iban(F.col("o_orderkey")).alias("grouped"))
     return made.select("o_orderkey", F.replace("grouped", F.lit(" "), F.lit("")).alias("iban"), checksums.valid_iban(F.col("grouped")).alias("valid"))
 
 
